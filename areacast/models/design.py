@@ -22,7 +22,10 @@ ALIAS_TOLERANCE = 1e-8
 
 @dataclass(frozen=True)
 class Factor:
-    """A text term.  ``levels`` are in order, the first is the baseline."""
+    """A text term.  ``levels`` are in order, the first is the baseline.
+
+    A declared level without rows keeps its place, with a coefficient of zero.
+    """
 
     name: str
     levels: tuple[str, ...]
@@ -55,8 +58,8 @@ def factor_levels(cells: DataFrame, names: Sequence[str], spec: ModelSpec) -> di
             unknown = set(levels) - set(declared)
             if unknown:
                 raise ValueError(f"undeclared levels of {c}: {sorted(unknown)}")
-            levels = [v for v in declared if v in found[c]]
-        out[c] = Factor(c, tuple(levels), tuple(found[c][v] for v in levels))
+            levels = declared
+        out[c] = Factor(c, tuple(levels), tuple(found[c].get(v, 0.0) for v in levels))
     return out
 
 

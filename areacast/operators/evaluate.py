@@ -48,17 +48,16 @@ def compare_to_truth(
     return joined, metrics(joined, estimate, truth_column, na, digits)
 
 
-def caption(summary: DataFrame) -> DataFrame:
-    """The summary as one line of text."""
+def with_caption(summary: DataFrame) -> DataFrame:
+    """The summary with a line of text for a figure."""
     def text(c):
         return F.coalesce(F.col(c).cast("string"), F.lit("NA"))
 
-    return summary.select(
-        F.concat(
-            F.lit("Correlation = "), text("correlation"),
-            F.lit(", Mean Absolute Error = "), text("mean_abs_error"),
-        ).alias("caption")
+    line = F.concat(
+        F.lit("Correlation = "), text("correlation"),
+        F.lit(", Mean Absolute Error = "), text("mean_abs_error"),
     )
+    return summary.withColumn("caption", line)
 
 
 def caterpillar(

@@ -12,6 +12,7 @@ MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # A key is hot above 1/HOT_FRACTION of the rows, so there are fewer than this many.
 HOT_FRACTION = 1000
+HASH_BUCKETS = 16_384
 SPREAD = 64
 
 
@@ -38,12 +39,22 @@ def fits_in_broadcast(
 
 
 def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys that hold more than 1/HOT_FRACTION of the rows; few by construction."""
+    """Keys that hold more than 1/HOT_FRACTION of the rows; few by construction.
+
+    Rows are first counted by a hash of the key, which shuffles next to nothing.
+    Keys are counted only inside buckets large enough to hide a hot one.
+    """
     on = as_list(on)
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    total = df.count()
-    kept = counts.filter(F.col("_rows") > total / HOT_FRACTION).select(*on)
-    return df.sparkSession.createDataFrame(kept.collect(), kept.schema)
+    bucket = F.pmod(F.xxhash64(*on), F.lit(HASH_BUCKETS))
+    sizes = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    limit = sum(r["n"] for r in sizes) / HOT_FRACTION
+    suspects = [r["b"] for r in sizes if r["n"] > limit]
+    empty = df.select(*on).schema
+    if not suspects:
+        return df.sparkSession.createDataFrame([], empty)
+    counts = df.filter(bucket.isin(suspects)).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = counts.filter(F.col("_rows") > limit).select(*on)
+    return df.sparkSession.createDataFrame(kept.collect(), empty)
 
 
 def _spread_hot_keys(left, right, keys, renamed):

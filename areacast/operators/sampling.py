@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areacast.functions.stats import hash_key, hash_uniform
+from areacast.functions.stats import clean_double, fold_of, hash_key, hash_uniform
 from areacast.operators.joins import as_list
 from areacast.sources.shared import settle
 
@@ -64,7 +64,7 @@ def sample_weighted(df: DataFrame, n: int, id, weight: Column | str, seed=42) ->
     if n < 1:
         return df.limit(0)
     ids = as_list(id)
-    w = (F.col(weight) if isinstance(weight, str) else weight).cast("double")
+    w = clean_double(F.col(weight) if isinstance(weight, str) else weight)
     checked = F.when(w < 0, F.raise_error(F.lit("negative sampling weight")).cast("double")).otherwise(w)
     keyed = (
         df.withColumn("_w", checked)
@@ -77,6 +77,4 @@ def sample_weighted(df: DataFrame, n: int, id, weight: Column | str, seed=42) ->
 
 def with_fold(df: DataFrame, id, folds: int, seed=42, out: str = "fold") -> DataFrame:
     """Assign cross-validation folds by respondent id."""
-    from areacast.functions.stats import fold_of
-
     return df.withColumn(out, fold_of(as_list(id), folds, seed))
