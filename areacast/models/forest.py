@@ -34,6 +34,18 @@ def _features(df: DataFrame, terms: Sequence[str], factors: dict[str, Factor]) -
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(df).drop(*inputs)
 
 
+def _resampling_units(rows: DataFrame, units: int) -> DataFrame:
+    """Split each weighted row into up to ``units`` rows of equal weight.
+
+    The learner draws whole rows.  A cell of many respondents drawn as one row
+    would be in or out of a tree as a block; split up, its weight varies about as
+    it does when respondents are drawn one by one, and exactly so up to ``units``.
+    """
+    parts = F.least(F.ceil("_w"), F.lit(units)).cast("int")
+    split = rows.withColumn("_part", F.explode(F.sequence(F.lit(1), F.greatest(parts, F.lit(1)))))
+    return split.withColumn("_w", F.col("_w") / F.greatest(parts, F.lit(1)))
+
+
 @dataclass(frozen=True)
 class ForestFit:
     spec: ModelSpec
@@ -55,18 +67,17 @@ def fit_forest(df: DataFrame, spec: ModelSpec, **kwargs) -> ForestFit:
 
 def fit_forest_cells(
     cells: DataFrame, spec: ModelSpec, trees: int = 500, max_depth: int = 30, seed: int = 42,
-    max_bins: int = 64, factors: dict[str, Factor] | None = None,
+    max_bins: int = 64, units: int = 64,
 ) -> ForestFit:
     """Bagged trees that try floor(sqrt(p)) random terms at each split."""
     if spec.family != "binomial" or spec.random:
         raise ValueError("fit_forest fits a binomial outcome without random terms")
     if not spec.fixed:
         raise ValueError("fit_forest needs at least one term")
-    if factors is None:
-        texts = [c for c in spec.fixed if is_factor(cells.schema, c, spec)]
-        factors = factor_levels(cells, texts, spec)
+    texts = [c for c in spec.fixed if is_factor(cells.schema, c, spec)]
+    factors = factor_levels(cells, texts, spec)
     bins = max([max_bins, *[len(f.levels) + 1 for f in factors.values()]])
-    data = two_rows_per_cell(_features(cells, spec.fixed, factors))
+    data = _resampling_units(two_rows_per_cell(_features(cells, spec.fixed, factors)), units)
     model = RandomForestClassifier(
         weightCol="_w", numTrees=trees, maxDepth=max_depth, maxBins=bins,
         featureSubsetStrategy=str(max(1, math.isqrt(len(spec.fixed)))), seed=seed,
