@@ -42,6 +42,10 @@ def _resampling_units(rows: DataFrame, units: int) -> DataFrame:
     it does when respondents are drawn one by one, and exactly so up to ``units``.
     """
     parts = F.least(F.ceil("_w"), F.lit(units)).cast("int")
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < tasks:
+        # Few cells sit in one file; give every core a share of what they become.
+        rows = rows.repartition(tasks)
     split = rows.withColumn("_part", F.explode(F.sequence(F.lit(1), F.greatest(parts, F.lit(1)))))
     return split.withColumn("_w", F.col("_w") / F.greatest(parts, F.lit(1)))
 

@@ -87,16 +87,19 @@ class StackedFit:
 
 
 def fit_stack(
-    df: DataFrame, spec: ModelSpec, learners: Mapping[str, Learner], id, folds: int = 10,
-    seed: int = 42, parallelism: int = 4,
+    df: DataFrame, spec: ModelSpec, learners: Mapping[str, Learner], id=None, folds: int = 10,
+    seed: int = 42, parallelism: int = 4, fold: str | None = None,
 ) -> StackedFit:
     """Cross-validate the learners, weight them, and refit each on everything.
 
     Folds are drawn by respondent, before the rows are reduced to cells; a fold
-    is then just one more key of the cell table.
+    is then just one more key of the cell table.  Cells that carry their fold
+    already name its column with ``fold``.
     """
-    ids = as_list(id)
-    tagged = df.withColumn("_fold", fold_of(ids, folds, seed))
+    if (id is None) == (fold is None):
+        raise ValueError("give either the respondent id or a fold column")
+    number = F.col(fold) if fold else fold_of(as_list(id), folds, seed)
+    tagged = df.withColumn("_fold", number)
     by_fold = settle(collapse(tagged, spec, extra=["_fold"]), "fold_cells")
     return fit_stack_cells(by_fold, spec, learners, folds, parallelism)
 

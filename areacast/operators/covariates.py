@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areacast.operators.joins import as_list, lookup_join, unique_by
+from areacast.sources.shared import settle
 
 
 def pivot_wider(df: DataFrame, id_cols, names_from: str, values_from: str, names) -> DataFrame:
@@ -43,7 +44,11 @@ def two_party_share(first: Column, second: Column) -> Column:
 
 
 def attach_covariates(df: DataFrame, on, *tables: DataFrame, null_safe: bool = True) -> DataFrame:
-    """Left join one-row-per-area tables; a repeated area fails the job."""
+    """Left join one-row-per-area tables; a repeated area fails the job.
+
+    Each table is computed and checked once, however large what it comes from.
+    """
     for table in tables:
-        df = lookup_join(df, unique_by(table, on), on, null_safe=null_safe)
+        lookup = settle(unique_by(table, on), "lookup")
+        df = lookup_join(df, lookup, on, null_safe=null_safe)
     return df

@@ -58,24 +58,30 @@ def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def _spread_hot_keys(left, right, keys, renamed):
-    """Salt only the hot keys: their left rows spread out, their right rows repeat."""
-    hot = hot_keys(left, keys).withColumn("_hot", F.lit(True))
-    flags = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_hot")
+    """Salt only the hot keys: their left rows spread out, their right rows repeat.
+
+    Returns the two sides, salted or, without any hot key, as they came.  The salt
+    is the number of the input partition: it reads no column, and a task that runs
+    again gives its rows the same salt.
+    """
+    hot = hot_keys(left, keys)
+    if not hot.head(1):
+        return left, right, False
+    flags = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
 
     def flagged(df, names):
         same = [F.col(n).eqNullSafe(F.col(f"_h_{k}")) for n, k in zip(names, keys)]
+        # At most HOT_FRACTION rows, by construction.
         joined = df.join(F.broadcast(flags), same, "left")
         return joined.drop(*[f"_h_{k}" for k in keys])
 
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SPREAD)).cast("int")
-    left = flagged(left, keys).withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
-    ).drop("_hot")
+    salt = F.pmod(F.spark_partition_id(), F.lit(SPREAD))
+    left = flagged(left, keys).withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(
         F.array(F.lit(0))
     )
-    right = flagged(right, renamed).withColumn("_r_salt", F.explode(copies)).drop("_hot")
-    return left, right
+    right = flagged(right, renamed).withColumn("_r_salt", F.explode(copies))
+    return left.drop("_hot"), right.drop("_hot"), True
 
 
 def lookup_join(
@@ -84,6 +90,7 @@ def lookup_join(
     on,
     how: str = "left",
     null_safe: bool = False,
+    small: bool = True,
     max_rows: int = MAX_BROADCAST_ROWS,
     max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
@@ -93,7 +100,9 @@ def lookup_join(
     left side never moves.  Beyond it both sides shuffle by key, with the hot
     keys of the left side spread over several tasks.  Results are the same.
 
-    ``null_safe`` lets a missing key match a missing key.
+    ``small=False`` skips the measurement for a side known to be large, which
+    would have to be computed just to be measured.  ``null_safe`` lets a missing
+    key match a missing key.
     """
     if how not in ("left", "inner", "left_semi"):
         raise ValueError("how must be left, inner or left_semi")
@@ -113,11 +122,13 @@ def lookup_join(
         F.col(k).eqNullSafe(F.col(r)) if null_safe else F.col(k) == F.col(r)
         for k, r in zip(keys, renamed)
     ]
-    if fits_in_broadcast(right, max_rows, max_bytes):
+    if small and fits_in_broadcast(right, max_rows, max_bytes):
         joined = left.join(F.broadcast(right), match, how)
     else:
-        left, right = _spread_hot_keys(left, right, keys, renamed)
-        joined = left.join(right, match + [F.col("_salt") == F.col("_r_salt")], how)
+        left, right, salted = _spread_hot_keys(left, right, keys, renamed)
+        if salted:
+            match.append(F.col("_salt") == F.col("_r_salt"))
+        joined = left.join(right, match, how)
     if how == "left_semi":
         extra = []
     return joined.select(*[F.col(f"`{c}`") for c in columns + extra])

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from areacast.functions.recode import recode
 from areacast.operators.filters import complete_cases
+from areacast.operators.frames import psframe
 from areacast.operators.joins import area_join, lookup_join
+from areacast.sources.shared import settle
 from areacast.sources.tables import read_table
 
 OUTCOME_CODES = {"F": 1.0, "O": 0.0}
@@ -42,7 +44,10 @@ def areas(spark: SparkSession, folder: str, with_covariate: bool = False) -> Dat
         F.col("r_regionkey").alias("regionkey"), F.col("r_name").alias("division")
     )
     out = nation.join(region, "regionkey").drop("regionkey")
-    return area_join(out, covariate(spark, folder), "nationkey") if with_covariate else out
+    if not with_covariate:
+        return out
+    # Written once: 25 rows that took a pass over all suppliers.
+    return settle(area_join(out, covariate(spark, folder), "nationkey"), "areas")
 
 
 def customers(spark: SparkSession, folder: str, with_covariate: bool = False) -> DataFrame:
@@ -57,8 +62,13 @@ def customers(spark: SparkSession, folder: str, with_covariate: bool = False) ->
     )
 
 
-def respondents(spark: SparkSession, folder: str, with_covariate: bool = False) -> DataFrame:
-    """One row per order, outcome missing for partly filled orders."""
+def respondents(
+    spark: SparkSession, folder: str, with_covariate: bool = False, answered: bool = False
+) -> DataFrame:
+    """One row per order, outcome missing for partly filled orders.
+
+    ``answered`` drops those before the join.
+    """
     orders = source(spark, folder, "orders").select(
         F.col("o_orderkey").alias("caseid"),
         F.col("o_custkey").alias("c_custkey"),
@@ -67,20 +77,39 @@ def respondents(spark: SparkSession, folder: str, with_covariate: bool = False)
         F.col("o_orderstatus").alias("status"),
         recode("o_orderstatus", OUTCOME_CODES).alias("y"),
     )
+    if answered:
+        orders = orders.filter(F.col("status").isin(*OUTCOME_CODES))
     people = customers(spark, folder, with_covariate)
     return lookup_join(orders, people, "c_custkey", how="inner").drop("c_custkey")
 
 
 def complete(spark: SparkSession, folder: str, with_covariate: bool = False) -> DataFrame:
     """Respondents with an answer (and a covariate, when asked for)."""
-    needed = ["y", "covariate"] if with_covariate else ["y"]
-    return complete_cases(respondents(spark, folder, with_covariate), needed)
+    survey = respondents(spark, folder, with_covariate, answered=True)
+    return complete_cases(survey, ["covariate"]) if with_covariate else survey
+
+
+def tally(
+    spark: SparkSession, folder: str, keys=PREDICTORS, attributes=(), extra=None
+) -> DataFrame:
+    """All complete respondents as weighted cells (``n``), written once.
+
+    Fits, frames, marginals and known values all come from it, so a study costs
+    one pass over the respondents.  ``extra`` adds computed keys.
+    """
+    survey = complete(spark, folder, with_covariate="covariate" in attributes)
+    extra = extra or {}
+    survey = survey.withColumns(extra) if extra else survey
+    return settle(
+        psframe(survey, "abb", [*keys, *extra, "y"], attributes=attributes), "tally"
+    )
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order line; the outcome is a returned line.
 
-    Lines meet orders first, on their shared key, and only then the small tables.
+    Orders are a large table themselves, so the two sides meet on their shared
+    key unless Spark finds one small once it has been shuffled.
     """
     items = source(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("caseid"),
@@ -89,4 +118,4 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
         "l_quantity",
     )
     people = respondents(spark, folder).select("caseid", "abb", "priority", "segment")
-    return lookup_join(items, people, "caseid", how="inner")
+    return lookup_join(items, people, "caseid", how="inner", small=False)

@@ -33,6 +33,7 @@ from areacast.plans.orders_survey import (
     lines,
     respondents,
     source,
+    tally,
 )
 from areacast.plans.studies import marginal_mean
 from areacast.sources import tables
@@ -295,10 +296,10 @@ def area_mean(spark, folder):
 @query
 def area_mean_missing(spark, folder):
     """A missing answer spoils its area unless it is skipped."""
-    survey = settle(respondents(spark, folder).select(AREA, "priority", "y"), "survey")
-    keep = ps.area_mean(survey, [AREA, "priority"], "y", out="strict")
-    skip = ps.area_mean(survey, [AREA, "priority"], "y", out="lenient", na="skip")
-    return rounded(joins.area_join(keep, skip, [AREA, "priority"]), "strict", "lenient")
+    y = F.col("y")
+    return respondents(spark, folder).groupBy(AREA, "priority").agg(
+        r6(stats.mean(y)).alias("strict"), r6(stats.mean(y, na="skip")).alias("lenient")
+    )
 
 
 @query
@@ -377,23 +378,22 @@ def share_by_totals(spark, folder):
     return rounded(out.select(AREA, "priority", "prob_priority"), "prob_priority")
 
 
-def _synthetic(spark, folder, inner, extra):
-    survey = settle(
-        frames.psframe(complete(spark, folder), AREA, [*inner, *extra]), "tally"
-    )
-    joint = frames.cell_share(survey, AREA, inner, "n")
-    return frames.synthetic_frame(joint, frames.marginals(survey, AREA, extra, "n"), AREA)
+def _synthetic(cells, inner, extra, attributes=()):
+    joint = frames.cell_share(cells, AREA, inner, "n", attributes)
+    return frames.synthetic_frame(joint, frames.marginals(cells, AREA, extra, "n"), AREA)
 
 
 @query
 def synthetic_frame(spark, folder):
-    out = _synthetic(spark, folder, ["priority"], ["segment", "status"])
+    cells = tally(spark, folder, ["priority", "segment", "status"])
+    out = _synthetic(cells, ["priority"], ["segment", "status"])
     return out.withColumn("prob", F.round("prob", 9))
 
 
 @query
 def synthetic_estimate(spark, folder):
-    scored = FIXED.score(_synthetic(spark, folder, ["priority"], ["segment", "status"]))
+    cells = tally(spark, folder, ["priority", "segment", "status"])
+    scored = FIXED.score(_synthetic(cells, ["priority"], ["segment", "status"]))
     return rounded(ps.poststratify(scored, AREA, weight="prob"), "estimate")
 
 
@@ -428,41 +428,41 @@ def poststratify_fixed_coefs(spark, folder):
     return rounded(ps.poststratify(FIXED.score(frame), AREA), "estimate")
 
 
+def _mrp(cells, spec, fitter=fit_linear, **kwargs):
+    """Fit on weighted cells, score the frame taken from them, average by area."""
+    fit = fitter(cells, spec.but(weight="n"), **kwargs)
+    individual = [c for c in spec.columns if c not in (AREA, "division", "covariate")]
+    attributes = [c for c in spec.columns if c in ("division", "covariate")]
+    frame = frames.psframe(cells, AREA, individual, "n", attributes)
+    return rounded(ps.poststratify(fit.score(frame), AREA), "estimate")
+
+
 @query
 def glm_saturated(spark, folder):
     """One factor: fitted probabilities are the group means."""
-    survey = complete(spark, folder)
-    fit = fit_linear(survey, ModelSpec("y", ["segment"]))
-    frame = frames.psframe(survey, [], ["segment"])
+    cells = tally(spark, folder, ["segment"])
+    fit = fit_linear(cells, ModelSpec("y", ["segment"], weight="n"))
+    frame = frames.psframe(cells, [], ["segment"], "n")
     return rounded(fit.score(frame), "predicted_probability")
 
 
 @query
 def mrp_null_model(spark, folder):
     """Without predictors every area gets the overall mean."""
-    survey = complete(spark, folder)
-    fit = fit_linear(survey, ModelSpec("y"))
-    frame = frames.psframe(survey, AREA, ["priority"])
-    return rounded(ps.poststratify(fit.score(frame), AREA), "estimate")
+    return _mrp(tally(spark, folder, []), ModelSpec("y"))
 
 
 @query
 def mrp_fixed_effects_self(spark, folder):
     """Area terms on their own training cells give back the area means."""
-    survey = complete(spark, folder)
-    fit = fit_linear(survey, ModelSpec("y", ["priority", "segment", AREA]))
-    frame = frames.psframe(survey, AREA, ["priority", "segment"])
-    return rounded(ps.poststratify(fit.score(frame), AREA), "estimate")
+    return _mrp(tally(spark, folder), ModelSpec("y", ["priority", "segment", AREA]))
 
 
 @query
 def mrp_aliased_linear_self(spark, folder):
     """The same under a linear model whose area covariate is aliased."""
-    survey = complete(spark, folder, with_covariate=True)
-    spec = ModelSpec("y", ["priority", AREA, "covariate"], family="gaussian")
-    fit = fit_linear(survey, spec)
-    frame = frames.psframe(survey, AREA, ["priority"], attributes=["covariate"])
-    return rounded(ps.poststratify(fit.score(frame), AREA), "estimate")
+    cells = tally(spark, folder, ["priority"], ["covariate"])
+    return _mrp(cells, ModelSpec("y", ["priority", AREA, "covariate"], family="gaussian"))
 
 
 @query
@@ -509,20 +509,20 @@ def roster_scores(spark, folder):
 @query
 def mrsp_identity(spark, folder):
     """Synthetic frame under an additive linear model equals the joint frame."""
-    survey = complete(spark, folder)
-    fit = fit_linear(survey, ModelSpec("y", ["priority", "segment", AREA], family="gaussian"))
-    frame = _synthetic(spark, folder, ["priority"], ["segment"])
-    return rounded(ps.poststratify(fit.score(frame), AREA, weight="prob"), "estimate")
+    cells = tally(spark, folder)
+    spec = ModelSpec("y", ["priority", "segment", AREA], family="gaussian", weight="n")
+    frame = _synthetic(cells, ["priority"], ["segment"])
+    scored = fit_linear(cells, spec).score(frame)
+    return rounded(ps.poststratify(scored, AREA, weight="prob"), "estimate")
 
 
 @query
 def mrsp_from_marginals(spark, folder):
-    """The same estimate without expanding a single cell."""
-    survey = complete(spark, folder)
-    spec = ModelSpec("y", ["priority", "segment"], family="gaussian")
-    tables_ = frames.marginals(survey, AREA, ["priority", "segment"])
-    estimates = marginal_mean(fit_linear(survey, spec), tables_)
-    return rounded(estimates, "estimate")
+    """The same kind of estimate without expanding a single cell."""
+    cells = tally(spark, folder)
+    spec = ModelSpec("y", ["priority", "segment"], family="gaussian", weight="n")
+    parts = frames.marginals(cells, AREA, ["priority", "segment"], "n")
+    return rounded(marginal_mean(fit_linear(cells, spec), parts), "estimate")
 
 
 # --- evaluation ------------------------------------------------------------
@@ -578,31 +578,25 @@ def caterpillar(spark, folder):
 # --- limits of the multilevel, penalised and stacked models -----------------
 
 
+RANDOM_AREA = ModelSpec("y", [], [(AREA, [])])
+
+
 @query
 def multilevel_pooled(spark, folder):
     """Group variance near zero: the overall mean everywhere."""
-    survey = complete(spark, folder)
-    fit = fit_multilevel(survey, ModelSpec("y", [], [(AREA, [])]), covariance=[[1e-10]])
-    frame = frames.psframe(survey, AREA, [])
-    return rounded(ps.poststratify(fit.score(frame), AREA), "estimate")
+    return _mrp(tally(spark, folder, []), RANDOM_AREA, fit_multilevel, covariance=[[1e-10]])
 
 
 @query
 def multilevel_unpooled(spark, folder):
     """Huge group variance: the group means."""
-    survey = complete(spark, folder)
-    fit = fit_multilevel(survey, ModelSpec("y", [], [(AREA, [])]), covariance=[[1e9]])
-    frame = frames.psframe(survey, AREA, [])
-    return rounded(ps.poststratify(fit.score(frame), AREA), "estimate")
+    return _mrp(tally(spark, folder, []), RANDOM_AREA, fit_multilevel, covariance=[[1e9]])
 
 
 @query
 def multilevel_given_variance(spark, folder):
     """Random intercepts of known variance: partial pooling in between."""
-    survey = complete(spark, folder)
-    fit = fit_multilevel(survey, ModelSpec("y", [], [(AREA, [])]), covariance=[[0.05]])
-    frame = frames.psframe(survey, AREA, [])
-    return rounded(ps.poststratify(fit.score(frame), AREA), "estimate")
+    return _mrp(tally(spark, folder, []), RANDOM_AREA, fit_multilevel, covariance=[[0.05]])
 
 
 @query
@@ -614,85 +608,73 @@ def lasso_1x(spark, folder):
 @query
 def lasso_full_penalty(spark, folder):
     """A penalty above every gradient leaves the overall mean."""
-    survey = complete(spark, folder)
-    fit = fit_lasso(survey, ModelSpec("y", ["priority", "segment", AREA]), penalty=1.0)
-    frame = frames.psframe(survey, AREA, ["priority", "segment"])
-    return rounded(ps.poststratify(fit.score(frame), AREA), "estimate")
+    spec = ModelSpec("y", ["priority", "segment", AREA])
+    return _mrp(tally(spark, folder), spec, fit_lasso, penalty=1.0)
 
 
 # --- estimates of the full models ----------------------------------------
 
 
-@query
-def mrp_complete_pooling(spark, folder):
-    survey = complete(spark, folder)
-    fit = fit_linear(survey, ModelSpec("y", ["priority", "segment"]))
-    frame = frames.psframe(survey, AREA, ["priority", "segment"])
-    return rounded(ps.poststratify(fit.score(frame), AREA), "estimate")
+BOTH = ("division", "covariate")
+PARTIAL = ModelSpec("y", ["priority", "segment"], [("division", ["covariate"])])
+PENALISED = ModelSpec("y", ["priority", "segment", AREA, "covariate"])
+ENSEMBLE = ModelSpec("y", ["priority", "segment", *BOTH])
 
 
-def _tally(spark, folder):
-    """All complete respondents as weighted cells, written once."""
-    survey = complete(spark, folder, with_covariate=True)
-    return settle(
-        frames.psframe(survey, AREA, ["priority", "segment", "status", "y"], attributes=["division", "covariate"]),
-        "tally",
-    )
+@query
+def mrp_complete_pooling(spark, folder):
+    return _mrp(tally(spark, folder), ModelSpec("y", ["priority", "segment"]))
 
 
 @query
 def mrp_partial_pooling(spark, folder):
-    tally = _tally(spark, folder)
-    spec = ModelSpec("y", ["priority", "segment"], [("division", ["covariate"])], weight="n")
-    fit = fit_multilevel(tally, spec)
-    frame = frames.psframe(tally, AREA, ["priority", "segment"], "n", ["division", "covariate"])
-    return rounded(ps.poststratify(fit.score(frame), AREA), "estimate")
+    return _mrp(tally(spark, folder, attributes=BOTH), PARTIAL, fit_multilevel)
 
 
 @query
 def mrsp_multilevel(spark, folder):
     """Multilevel model on a synthetic frame."""
-    tally = _tally(spark, folder)
-    spec = ModelSpec("y", ["priority", "segment"], [("division", ["covariate"])], weight="n")
-    fit = fit_multilevel(tally, spec)
-    joint = frames.cell_share(tally, AREA, ["priority"], "n", ["division", "covariate"])
-    frame = frames.synthetic_frame(joint, frames.marginals(tally, AREA, ["segment"], "n"), AREA)
-    return rounded(ps.poststratify(fit.score(frame), AREA, weight="prob"), "estimate")
+    cells = tally(spark, folder, attributes=BOTH)
+    frame = _synthetic(cells, ["priority"], ["segment"], BOTH)
+    scored = fit_multilevel(cells, PARTIAL.but(weight="n")).score(frame)
+    return rounded(ps.poststratify(scored, AREA, weight="prob"), "estimate")
 
 
 @query
 def mrp_lasso(spark, folder):
-    tally = _tally(spark, folder)
-    spec = ModelSpec("y", ["priority", "segment", AREA, "covariate"], weight="n")
-    fit = fit_lasso(tally, spec, penalty=0.01)
-    frame = frames.psframe(tally, AREA, ["priority", "segment"], "n", ["covariate"])
-    return rounded(ps.poststratify(fit.score(frame), AREA), "estimate")
+    return _mrp(tally(spark, folder, attributes=["covariate"]), PENALISED, fit_lasso, penalty=0.01)
 
 
 @query
 def lasso_coefs(spark, folder):
-    spec = ModelSpec("y", ["priority", "segment", AREA, "covariate"], weight="n")
-    return rounded(fit_lasso(_tally(spark, folder), spec, penalty=0.002).coefficients(), "estimate")
+    cells = tally(spark, folder, attributes=["covariate"])
+    fit = fit_lasso(cells, PENALISED.but(weight="n"), penalty=0.002)
+    return rounded(fit.coefficients(), "estimate")
 
 
 @query
 def mrp_forest(spark, folder):
-    tally = _tally(spark, folder)
-    spec = ModelSpec("y", ["priority", "segment", "division", "covariate"], weight="n")
-    fit = fit_forest(tally, spec, trees=100, max_depth=12)
-    frame = frames.psframe(tally, AREA, ["priority", "segment"], "n", ["division", "covariate"])
-    return rounded(ps.poststratify(fit.score(frame), AREA), "estimate")
+    cells = tally(spark, folder, attributes=BOTH)
+    return _mrp(cells, ENSEMBLE, fit_forest, trees=100, max_depth=12)
 
 
 @query
 def mrp_stack(spark, folder):
     """Forest and logistic regression, weighted by five-fold cross-validation."""
-    survey = complete(spark, folder, with_covariate=True)
-    spec = ModelSpec("y", ["priority", "segment", "division", "covariate"])
+    fold = {"fold": stats.fold_of(["caseid"], 5, 42)}
+    cells = tally(spark, folder, attributes=BOTH, extra=fold)
     learners = {"forest": forest_learner(trees=30, max_depth=8), "glm": linear_learner()}
-    fit = fit_stack(survey, spec, learners, "caseid", folds=5)
-    frame = frames.psframe(survey, AREA, ["priority", "segment"], attributes=["division", "covariate"])
-    return rounded(ps.poststratify(fit.score(frame), AREA), "estimate")
+    return _mrp(cells, ENSEMBLE, fit_stack, learners=learners, folds=5, fold="fold")
+
+
+@query
+def best_full_joint(spark, folder):
+    """The ensemble on the full joint frame, order year included."""
+    fold = {"fold": stats.fold_of(["caseid"], 3, 42)}
+    cells = tally(spark, folder, ["priority", "segment", "year"], BOTH, fold)
+    learners = {"forest": forest_learner(trees=30, max_depth=8), "glm": linear_learner()}
+    spec = ENSEMBLE.but(fixed=[*ENSEMBLE.fixed, "year"])
+    return _mrp(cells, spec, fit_stack, learners=learners, folds=3, fold="fold")
 
 
 @query

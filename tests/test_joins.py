@@ -28,6 +28,14 @@ def test_large_lookup_side_gives_the_same_rows(spark, how, null_safe):
     assert "_salt" in plan
 
 
+def test_without_hot_keys_nothing_is_salted(spark):
+    left = spark.range(10_000).withColumnRenamed("id", "k")
+    right = left.withColumn("v", F.col("k") * 2)
+    out = joins.lookup_join(left, right, "k", small=False)
+    assert "salt" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("v = 2 * k").count() == 10_000
+
+
 def test_many_to_many_lookup(spark):
     left, _ = tables(spark)
     right = spark.createDataFrame([("k0", 1), ("k0", 2), ("k1", 3)], "k string, v int")
@@ -54,10 +62,11 @@ def test_hot_keys(spark):
 
 
 def test_hot_key_is_spread(spark):
-    left = spark.range(20_000).select(F.col("id"), F.lit("hot").alias("k"))
+    left = spark.range(20_000).repartition(2 * joins.SPREAD).select(F.col("id"), F.lit("hot").alias("k"))
     right = spark.createDataFrame([("hot", 1.0), ("cold", 2.0)], "k string, v double")
     renamed = right.select(F.col("k").alias("_r_k"), "v")
-    salted, copies = joins._spread_hot_keys(left, renamed, ["k"], ["_r_k"])
+    salted, copies, spread = joins._spread_hot_keys(left, renamed, ["k"], ["_r_k"])
+    assert spread
     sizes = [r["count"] for r in salted.groupBy("_salt").count().collect()]
     assert len(sizes) == joins.SPREAD and max(sizes) < 2 * 20_000 / joins.SPREAD
     assert copies.count() == joins.SPREAD + 1
