@@ -23,7 +23,7 @@ from areacast.models.spec import ModelSpec, collapse
 from areacast.sources.shared import settle
 
 # Group blocks (groups x slopes x columns) the driver solves, as many doubles.
-MAX_GROUP_ENTRIES = 100_000_000
+MAX_GROUP_ENTRIES = 20_000_000
 _TINY = 1e-10
 
 
@@ -105,12 +105,23 @@ def _solve(sums: Sums, rhs_fixed, rhs_group, precision):
 
 
 def _variance_steps(sums, rhs_fixed, rhs_group, sigma, fixed, steps, tol):
-    """Solve the linearised model, updating the covariance unless it is given."""
+    """Solve the linearised model, updating the covariance unless it is given.
+
+    Expectation-maximisation with parameter expansion (Liu, Rubin and Wu, 1998):
+    a working matrix rescales the effects at each step, which keeps convergence
+    fast when a variance is close to zero.
+    """
+    q = sigma.shape[0]
     for _ in range(1 if fixed else steps):
         beta, effects, inverse, schur = _solve(sums, rhs_fixed, rhs_group, _invert(sigma))
         if fixed:
             break
-        updated = (np.einsum("ja,jb->ab", effects, effects) + inverse.sum(0)) / len(effects)
+        second = np.einsum("ja,jb->jab", effects, effects) + inverse
+        residual = rhs_group - np.einsum("jpq,p->jq", sums.group_fixed, beta)
+        normal = np.einsum("jac,jdb->abcd", sums.group_cross, second).reshape(q * q, q * q)
+        target = np.einsum("ja,jb->ab", residual, effects).ravel()
+        expand = np.linalg.lstsq(normal, target, rcond=1e-14)[0].reshape(q, q)
+        updated = expand @ second.mean(axis=0) @ expand.T
         change = np.max(np.abs(updated - sigma)) / max(np.max(np.abs(updated)), 1e-6)
         sigma = updated
         if change < tol:

@@ -62,7 +62,7 @@ syn AS (SELECT abb, priority, segment, status, p0 * p1 * p2 AS prob
         FROM joint JOIN m1 USING (abb) JOIN m2 USING (abb))"""
 
 
-def _two_way(link: str) -> str:
+def _two_way(link: str, rows: str = "done") -> str:
     """Additive model of two factors on its 25 cells, by alternating exact updates."""
     mu, weight = {
         "logit": ("1 / (1 + exp(-eta))", "n * mu * (1 - mu)"),
@@ -78,7 +78,7 @@ def _two_way(link: str) -> str:
     inner = update("SELECT * FROM it WHERE k < 40", "priority", 0)
     return f"""WITH RECURSIVE {SURVEY},
     it AS (SELECT 0 AS k, priority, segment, sum(y) AS s, CAST(count(*) AS DOUBLE) AS n,
-                  CAST(0 AS DOUBLE) AS eta FROM done GROUP BY priority, segment
+                  CAST(0 AS DOUBLE) AS eta FROM {rows} GROUP BY priority, segment
            UNION ALL {update(inner, "segment", 1)}),
     fit AS (SELECT priority, segment, {mu} AS mu FROM it WHERE k = 40)"""
 
@@ -183,6 +183,14 @@ ORACLES: dict[str, str] = {
         SELECT survey.abb, round(max(covariate), 6) AS covariate, max(n_customers) AS n_customers,
                count(*) AS n
         FROM survey LEFT JOIN size ON survey.abb = size.abb GROUP BY survey.abb""",
+    "null_key_join": """WITH o AS (SELECT o_orderkey,
+          CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' END AS label FROM orders),
+        t AS (SELECT label, count(*) AS same FROM o GROUP BY label)
+        SELECT o.o_orderkey, o.label, a.same, b.same AS plain FROM o
+        LEFT JOIN t AS a ON o.label IS NOT DISTINCT FROM a.label LEFT JOIN t AS b ON o.label = b.label""",
+    "natural_totals": f"""{WITH} SELECT abb, division, priority, count(*) AS n,
+        CAST(sum(count(*)) OVER (PARTITION BY abb, division) AS BIGINT) AS num_respondents
+        FROM survey GROUP BY abb, division, priority""",
     "pivot_wide": f"""{WITH} SELECT abb, nullif(count(*) FILTER (status = 'F'), 0) AS F,
         nullif(count(*) FILTER (status = 'O'), 0) AS O, nullif(count(*) FILTER (status = 'P'), 0) AS P
         FROM survey GROUP BY abb""",
@@ -305,6 +313,10 @@ ORACLES: dict[str, str] = {
         f AS (SELECT abb, priority, segment, count(*) AS n FROM done GROUP BY ALL)
         SELECT abb, round(sum(f.n * mu) / sum(f.n), 6) AS estimate
         FROM f JOIN fit USING (priority, segment) GROUP BY abb""",
+    "mrp_from_sample": f"""{_two_way('logit', f'(SELECT * FROM done {DRAWN} 3000)')},
+        f AS (SELECT abb, priority, segment, count(*) AS n, sum(y) AS s FROM done GROUP BY ALL)
+        SELECT abb, round(sum(f.n * mu) / sum(f.n), 6) AS estimate, round(sum(f.s) / sum(f.n), 6) AS truth
+        FROM f JOIN fit USING (priority, segment) GROUP BY abb""",
     "mrsp_from_marginals": f"""{_two_way('identity')},
         tot AS (SELECT abb, count(*) AS t FROM done GROUP BY abb),
         p AS (SELECT abb, priority, count(*) AS np FROM done GROUP BY ALL),

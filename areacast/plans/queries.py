@@ -268,6 +268,26 @@ def area_covariates(spark, folder):
     )
 
 
+@query
+def null_key_join(spark, folder):
+    """A missing key meets a missing key in one join and nothing in the other."""
+    orders = source(spark, folder, "orders").select(
+        "o_orderkey", rc.recode("o_orderstatus", {"F": "filled", "O": "open"}).alias("label")
+    )
+    sizes = settle(orders.groupBy("label").agg(F.count(F.lit(1)).alias("same")), "sizes")
+    out = joins.lookup_join(orders, sizes, "label", null_safe=True)
+    return joins.lookup_join(out, sizes.withColumnRenamed("same", "plain"), "label")
+
+
+@query
+def natural_totals(spark, folder):
+    """Cells beside the total of every column they share with the totals."""
+    survey = respondents(spark, folder)
+    cells = frames.psframe(survey, AREA, ["division", "priority"])
+    totals = survey.groupBy(AREA, "division").agg(F.count(F.lit(1)).alias("num_respondents"))
+    return joins.natural_left_join(cells, settle(totals, "totals"))
+
+
 def _votes(spark, folder):
     """Long table: area, status, number of orders."""
     survey = respondents(spark, folder)
@@ -626,6 +646,19 @@ def mrp_complete_pooling(spark, folder):
     return _mrp(tally(spark, folder), ModelSpec("y", ["priority", "segment"]))
 
 
+@query
+def mrp_from_sample(spark, folder):
+    """Fit on a uniform sample, estimate for all respondents, compare with the truth."""
+    survey = complete(spark, folder).select("caseid", AREA, "priority", "segment", "y")
+    survey = settle(survey, "survey")
+    drawn = settle(sampling.sample_uniform(survey, SAMPLE, "caseid", 42), "sample")
+    fit = fit_linear(drawn, ModelSpec("y", ["priority", "segment"]))
+    frame = frames.psframe(survey, AREA, ["priority", "segment"])
+    estimates = ps.poststratify(fit.score(frame), AREA)
+    out = evaluate.join_truth(estimates, ps.area_mean(survey, AREA, "y"), AREA)
+    return rounded(out, "estimate", "truth")
+
+
 @query
 def mrp_partial_pooling(spark, folder):
     return _mrp(tally(spark, folder, attributes=BOTH), PARTIAL, fit_multilevel)
