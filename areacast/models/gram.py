@@ -84,32 +84,39 @@ class Layout:
 
 @dataclass
 class Sums:
-    """``cross`` = X'WX, ``score`` = X'r, and per group Z'WZ, X'WZ and Z'r."""
+    """``cross`` = X'WX, ``score`` = X'r, and per group Z'WZ, X'WZ and Z'r.
+
+    The tilts are X't and Z't, where t is the change of the working weight along
+    the linear predictor times the variance ``z'Kz`` of a row's group effect.
+    """
 
     cross: np.ndarray
     score: np.ndarray
     log_likelihood: float
+    tilt: np.ndarray
     group_cross: np.ndarray | None = None
     group_fixed: np.ndarray | None = None
     group_score: np.ndarray | None = None
+    group_tilt: np.ndarray | None = None
 
 
 def _weights(eta, n, s, family):
-    """Working weight, residual and log-likelihood terms at a linear predictor."""
+    """Working weight and its slope, residual and log-likelihood at a linear predictor."""
     if family == "gaussian":
-        return n, s - n * eta, 0.0
+        return n, np.zeros_like(n), s - n * eta, 0.0
     mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
-    return n * mu * (1.0 - mu), s - n * mu, float(np.sum(s * eta - n * np.logaddexp(0.0, eta)))
+    w = n * mu * (1.0 - mu)
+    return w, w * (1.0 - 2.0 * mu), s - n * mu, float(np.sum(s * eta - n * np.logaddexp(0.0, eta)))
 
 
-def _task(layout: Layout, family: str, beta, effects):
+def _task(layout: Layout, family: str, beta, effects, spread):
     """Body of a task: cells in, partial sums out."""
 
     def frame(keys, values):
         return pd.DataFrame({"block": np.asarray(keys, dtype=np.int64), "sums": list(values)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((layout.width, layout.width + 1))
+        total = np.zeros((layout.width, layout.width + 2))
         loss = 0.0
         step = max(1, CHUNK_ENTRIES // layout.width)
         for batch in batches:
@@ -117,6 +124,7 @@ def _task(layout: Layout, family: str, beta, effects):
                 pdf = batch.iloc[start : start + step]
                 x = layout.fixed(pdf)
                 n, s = pdf["_n"].to_numpy(dtype=float), pdf["_s"].to_numpy(dtype=float)
+                t = np.zeros_like(n)
                 if beta is None:
                     w, r = n, s
                 else:
@@ -125,18 +133,21 @@ def _task(layout: Layout, family: str, beta, effects):
                         z = layout.grouped(pdf)
                         j = pdf[layout.group].to_numpy(dtype=int)
                         eta = eta + np.sum(z * effects[j], axis=1)
-                    w, r, part = _weights(eta, n, s, family)
+                    w, slope, r, part = _weights(eta, n, s, family)
                     loss += part
+                    if layout.group:
+                        t = slope * np.einsum("ia,iab,ib->i", z, spread[j], z)
                 wx = x * w[:, None]
-                total[:, :-1] += x.T @ wx
-                total[:, -1] += x.T @ r
+                total[:, :-2] += x.T @ wx
+                total[:, -2] += x.T @ r
+                total[:, -1] += x.T @ t
                 if layout.group and beta is not None:
                     q = z.shape[1]
                     order = np.argsort(j, kind="stable")
                     ids, first = np.unique(j[order], return_index=True)
                     pieces = [z[:, a] * z[:, b] * w for a in range(q) for b in range(q)]
                     pieces += [wx[:, k] * z[:, b] for k in range(x.shape[1]) for b in range(q)]
-                    pieces += [z[:, a] * r for a in range(q)]
+                    pieces += [z[:, a] * v for v in (r, t) for a in range(q)]
                     stacked = np.stack(pieces, axis=1)[order]
                     yield frame(_LOSS - 1 - ids, np.add.reduceat(stacked, first, axis=0))
         yield frame(np.arange(layout.width), total)
@@ -146,33 +157,38 @@ def _task(layout: Layout, family: str, beta, effects):
 
 
 def accumulate(
-    cells: DataFrame, layout: Layout, family: str = "gaussian", beta=None, effects=None
+    cells: DataFrame, layout: Layout, family: str = "gaussian", beta=None, effects=None, spread=None
 ) -> Sums:
-    """Sums over all cells; without ``beta`` the plain weighted cross-products."""
+    """Sums over all cells; without ``beta`` the plain weighted cross-products.
+
+    ``effects`` and ``spread`` hold the group effects and their variances.
+    """
     columns = [F.col(c).cast("double").alias(c) for c in layout.inputs]
     rows = (
         cells.select(*columns, "_n", "_s")
-        .mapInPandas(_task(layout, family, beta, effects), "block long, sums array<double>")
+        .mapInPandas(_task(layout, family, beta, effects, spread), "block long, sums array<double>")
         .groupBy("block")
         .agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
         .collect()
     )
     p = layout.width
-    out = Sums(np.zeros((p, p)), np.zeros(p), 0.0)
+    out = Sums(np.zeros((p, p)), np.zeros(p), 0.0, np.zeros(p))
     if layout.group and effects is not None:
         groups, q = effects.shape
         out.group_cross = np.zeros((groups, q, q))
         out.group_fixed = np.zeros((groups, p, q))
         out.group_score = np.zeros((groups, q))
+        out.group_tilt = np.zeros((groups, q))
     for row in rows:
         block, v = row["block"], row["sums"].toArray()
         if block >= 0:
-            out.cross[block], out.score[block] = v[:-1], v[-1]
+            out.cross[block], out.score[block], out.tilt[block] = v[:-2], v[-2], v[-1]
         elif block == _LOSS:
             out.log_likelihood = float(v[0])
         else:
             j = _LOSS - 1 - block
             out.group_cross[j] = v[: q * q].reshape(q, q)
             out.group_fixed[j] = v[q * q : q * q + p * q].reshape(p, q)
-            out.group_score[j] = v[q * q + p * q :]
+            out.group_score[j] = v[-2 * q : -q]
+            out.group_tilt[j] = v[-q:]
     return out

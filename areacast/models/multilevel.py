@@ -1,9 +1,10 @@
 """Multilevel logistic regression: correlated group intercepts and slopes.
 
-Each outer step makes one distributed pass that linearises the likelihood at the
-current coefficients.  The pass returns cross-products only, so the variance
-components of the linearised model are then found on those small matrices, without
-touching the data.  A handful of passes is enough.
+The fit maximises the Laplace approximation of the likelihood.  Each outer step
+makes one distributed pass that linearises the likelihood at the current
+coefficients.  The pass returns cross-products only, so the variance components are
+then found on those small matrices, without touching the data.  A handful of passes
+is enough.
 """
 
 from __future__ import annotations
@@ -129,6 +130,66 @@ def _variance_steps(sums, rhs_fixed, rhs_group, sigma, fixed, steps, tol):
     return beta, effects, sigma, schur
 
 
+def _tilted(sums, rhs_fixed, rhs_group, root):
+    """Solve at covariance ``root @ root.T`` with the Laplace term linearised.
+
+    The log-determinant depends on the coefficients through the working weights;
+    the tilts are its gradient.  Also returns the gradient along ``root``, in a
+    form that holds for a singular covariance.
+    """
+    sigma = root @ root.T
+    q = len(sigma)
+    shrink = np.linalg.inv(np.eye(q) + sigma @ sums.group_cross)
+    spread = shrink @ sigma
+    fi = sums.group_fixed @ spread
+    schur = sums.cross - np.einsum("jpq,jrq->pr", fi, sums.group_fixed)
+    tilt = sums.tilt - np.einsum("jpq,jq->p", fi, sums.group_tilt)
+    rhs = rhs_fixed - np.einsum("jpq,jq->p", fi, rhs_group) - 0.5 * tilt
+    beta = np.linalg.solve(schur, rhs)
+    residual = rhs_group - np.einsum("jpq,p->jq", sums.group_fixed, beta)
+    effects = np.einsum("jab,jb->ja", spread, residual)
+    a = np.einsum("jba,jb->ja", shrink, residual)
+    t = np.einsum("jba,jb->ja", shrink, sums.group_tilt)
+    slope = np.einsum("ja,jb->ab", a, a - t) - np.einsum("jab,jbc->ac", sums.group_cross, shrink)
+    gradient = np.tril((slope + slope.T) / 2 @ root)[np.tril_indices(q)]
+    return beta, effects, spread, schur, gradient
+
+
+def _laplace_step(sums, rhs_fixed, rhs_group, sigma, steps: int = 20):
+    """Newton steps from the variance found without the tilts to the one with them.
+
+    The two are close; a step that leads far away is not taken.
+    """
+    q = len(sigma)
+    lower = np.tril_indices(q)
+    start = np.linalg.cholesky(sigma + _TINY * np.eye(q))
+    size = max(np.abs(start).max(), 1e-4)
+
+    def solve(values):
+        root = np.zeros((q, q))
+        root[lower] = values
+        return _tilted(sums, rhs_fixed, rhs_group, root)
+
+    x = start[lower]
+    for _ in range(steps):
+        gradient = solve(x)[-1]
+        h = 1e-5 * size
+        jacobian = np.column_stack(
+            [(solve(x + h * e)[-1] - solve(x - h * e)[-1]) / (2 * h) for e in np.eye(len(x))]
+        )
+        move = -np.linalg.lstsq(jacobian, gradient, rcond=1e-12)[0]
+        if not np.isfinite(move).all() or np.abs(x + move - start[lower]).max() > 0.5 * size:
+            x = start[lower]
+            break
+        x = x + move
+        if np.abs(move).max() < 1e-10 * size:
+            break
+    root = np.zeros((q, q))
+    root[lower] = x
+    beta, effects, spread, schur, _ = solve(x)
+    return beta, effects, root @ root.T, spread, schur
+
+
 def _laplace_deviance(sums: Sums, effects, sigma) -> float:
     precision = _invert(sigma)
     q = sigma.shape[0]
@@ -146,7 +207,10 @@ def fit_multilevel_cells(
     cells: DataFrame, spec: ModelSpec, covariance=None, max_passes: int = 40, tol: float = 1e-7,
     variance_steps: int = 1000,
 ) -> MultilevelFit:
-    """Penalised likelihood fit with estimated (or given) effect covariance."""
+    """Laplace fit of coefficients and effect covariance.
+
+    With a given ``covariance`` it is the penalised likelihood fit at that value.
+    """
     if spec.family != "binomial":
         raise ValueError("fit_multilevel fits a binomial outcome")
     if len(spec.random) != 1:
@@ -175,9 +239,10 @@ def fit_multilevel_cells(
     given = covariance is not None
     sigma = np.atleast_2d(np.asarray(covariance, dtype=float)) if given else np.eye(q) * 0.25
     beta, effects = np.zeros(layout.width), np.zeros((groups, q))
+    spread = np.zeros((groups, q, q))
     converged = False
     for step in range(1, max_passes + 1):
-        sums = accumulate(coded, layout, "binomial", beta, effects)
+        sums = accumulate(coded, layout, "binomial", beta, effects, spread)
         rhs_fixed = sums.cross @ beta + np.einsum("jpq,jq->p", sums.group_fixed, effects) + sums.score
         rhs_group = (
             np.einsum("jpq,p->jq", sums.group_fixed, beta)
@@ -187,12 +252,16 @@ def fit_multilevel_cells(
         new_beta, new_effects, sigma, schur = _variance_steps(
             sums, rhs_fixed, rhs_group, sigma, given, variance_steps, tol * 1e-2
         )
+        if not given:
+            new_beta, new_effects, sigma, spread, schur = _laplace_step(
+                sums, rhs_fixed, rhs_group, sigma
+            )
         change = max(np.max(np.abs(new_beta - beta)), np.max(np.abs(new_effects - effects)))
         beta, effects = new_beta, new_effects
         if change < tol:
             converged = True
             break
-    final = accumulate(coded, layout, "binomial", beta, effects)
+    final = accumulate(coded, layout, "binomial", beta, effects, spread)
     coded.unpersist()
     return _finish(spec, design, cells, kept, shift, scale, slope_stats, group, final,
                    schur, beta, effects, sigma, step + 1, converged)

@@ -28,14 +28,14 @@ EXTRA = ("pew_religimp", "homeowner", "urban", "parent", "military_household")
 BASIC = ("gender", "educ", "race", "age")
 SLOPE = (("division", ("biden_vote_share",)),)
 
-# First-stage models of the chapter.
+# First-stage models of the main analysis.
 COMPLETE_POOLING = ModelSpec(OUTCOME, BASIC)
 FIXED_EFFECTS = ModelSpec(OUTCOME, (*BASIC, AREA))
 PARTIAL_POOLING = ModelSpec(OUTCOME, BASIC, SLOPE)
 ENSEMBLE = ModelSpec(OUTCOME, (*BASIC, "division", "biden_vote_share"))
 SYNTHETIC = ModelSpec(OUTCOME, (*BASIC, *EXTRA), SLOPE)
 FULL_ENSEMBLE = ModelSpec(OUTCOME, (*BASIC, "division", "biden_vote_share", *EXTRA))
-# Models of the lecture.
+# Models of the short analysis.
 LECTURE = ModelSpec(OUTCOME, ("gender", "age_cat", "educ", "military_household"))
 KITCHEN_SINK = ModelSpec(
     OUTCOME,
@@ -45,7 +45,7 @@ KITCHEN_SINK = ModelSpec(
 )
 PENALISED = KITCHEN_SINK.but(family="binomial")
 TWO_WAY_LINEAR = ModelSpec(OUTCOME, ("age_cat", "pew_religimp"), family="gaussian")
-# Models of the slides.
+# Models of the presentation.
 TWO_WAY = ModelSpec(OUTCOME, ("age_cat", "pew_religimp"))
 SLIDES_KITCHEN_SINK = KITCHEN_SINK.but(
     fixed=("age_cat", "pew_religimp", "gender", "race", "urban", AREA, "biden_vote_share",
