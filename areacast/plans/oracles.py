@@ -101,13 +101,43 @@ d AS (SELECT (balance - mx) / sx AS x, sum(y) AS s, count(*) AS n FROM done, m G
 it AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1
        UNION ALL
        SELECT k + 1, b0 + g0 / h0,
-              sign(b1 * h1 + g1) * greatest(abs(b1 * h1 + g1) - 0.001 * nn, 0) / h1
+              CASE WHEN abs(b1 * h1 + g1) <= 0.001 * nn THEN 0
+                   ELSE sign(b1 * h1 + g1) * (abs(b1 * h1 + g1) - 0.001 * nn) / h1 END
        FROM (SELECT k, b0, b1, sum(s - n * p) AS g0, sum(n * p * (1 - p)) AS h0,
                     sum((s - n * p) * x) AS g1, sum(n * p * (1 - p) * x * x) AS h1
              FROM (SELECT k, b0, b1, x, s, n, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM it, d WHERE k < 40)
              GROUP BY k, b0, b1), m),
 fin AS (SELECT * FROM it, m WHERE k = 40)"""
 
+# Three factors under an L1 penalty of 0.003, by proximal gradient steps on
+# standardised dummies; term 0 is the intercept.
+LASSO_FACTORS = f"""WITH RECURSIVE {SURVEY},
+cells AS (SELECT row_number() OVER () AS c, * FROM (
+  SELECT priority, segment, abb, sum(y) AS s, CAST(count(*) AS DOUBLE) AS n FROM done GROUP BY ALL)),
+total AS (SELECT sum(n) AS nn FROM cells),
+marks AS (SELECT c, n, unnest(['priority' || priority, 'segment' || segment, 'abb' || abb]) AS term FROM cells),
+kinds AS (SELECT term, sum(n) AS size,
+                 CASE WHEN term LIKE 'pri%' THEN 1 WHEN term LIKE 'seg%' THEN 2 ELSE 3 END AS factor
+          FROM marks GROUP BY term),
+terms AS (SELECT row_number() OVER (ORDER BY term) AS j, term, size / nn AS m,
+                 sqrt(size / nn * (1 - size / nn)) AS sd
+          FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY term) AS place FROM kinds), total
+          WHERE place > 1),
+x AS (SELECT cells.c, j, (CASE WHEN marks.term IS NULL THEN 0 ELSE 1 END - m) / sd AS x, s, cells.n
+      FROM cells CROSS JOIN terms LEFT JOIN marks ON marks.c = cells.c AND marks.term = terms.term
+      UNION ALL SELECT c, 0, 1, s, n FROM cells),
+it AS (SELECT 0 AS k, j, CAST(0 AS DOUBLE) AS b FROM (SELECT DISTINCT j FROM x)
+       UNION ALL
+       SELECT k + 1, j,
+              CASE WHEN j = 0 THEN b + g / 0.5
+                   WHEN abs(b + g / 0.5) <= 0.003 / 0.5 THEN 0
+                   ELSE sign(b + g / 0.5) * (abs(b + g / 0.5) - 0.003 / 0.5) END
+       FROM (SELECT any_value(k) AS k, j, any_value(b) AS b, sum(x * (s - n / (1 + exp(-eta)))) / any_value(nn) AS g
+             FROM (SELECT k, j, b, x, s, n, sum(x * b) OVER (PARTITION BY c) AS eta
+                   FROM (SELECT k, it.j, b, c, x, s, n FROM it JOIN x ON it.j = x.j WHERE k < 1200)), total
+             GROUP BY j)),
+fin AS (SELECT j, b FROM it WHERE k = 1200)"""
+
 
 def _orders(expressions: str, where: str = "") -> str:
     return f"SELECT o_orderkey, {expressions} FROM orders {where}"
@@ -309,6 +339,10 @@ ORACLES: dict[str, str] = {
     "lasso_1x": f"""{LASSO_1X} SELECT '(Intercept)' AS term, round(b0 - b1 * mx / sx, 6) AS estimate,
         CAST(0.001 AS DOUBLE) AS penalty FROM fin
         UNION ALL SELECT 'balance', round(b1 / sx, 6), CAST(0.001 AS DOUBLE) FROM fin""",
+    "lasso_factors": f"""{LASSO_FACTORS}
+        SELECT term, round(b / sd, 4) AS estimate, CAST(0.003 AS DOUBLE) AS penalty FROM fin JOIN terms USING (j)
+        UNION ALL SELECT '(Intercept)', round(any_value(i.b) - sum(fin.b * m / sd), 4), CAST(0.003 AS DOUBLE)
+        FROM fin JOIN terms USING (j), (SELECT b FROM fin WHERE j = 0) AS i""",
     "mrp_complete_pooling": f"""{_two_way('logit')},
         f AS (SELECT abb, priority, segment, count(*) AS n FROM done GROUP BY ALL)
         SELECT abb, round(sum(f.n * mu) / sum(f.n), 6) AS estimate

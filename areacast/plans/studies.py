@@ -16,7 +16,7 @@ from areacast.models.stack import fit_stack, forest_learner, linear_learner
 from areacast.operators import evaluate
 from areacast.operators.frames import cell_share, marginals, psframe, synthetic_frame
 from areacast.operators.joins import area_join
-from areacast.operators.poststratify import area_mean, disaggregate, poststratify
+from areacast.operators.poststratify import area_mean, disaggregate, group_line, poststratify
 from areacast.operators.sampling import sample_uniform
 from areacast.sources.shared import settle
 
@@ -221,6 +221,25 @@ def marginal_mean(fit: LinearFit, tables: Mapping[str, DataFrame], area=AREA) ->
     return out.select(area, total.alias("estimate"))
 
 
+CM_PER_INCH = 2.54
+
+
+def children(kids: DataFrame, roster: DataFrame) -> dict[str, DataFrame]:
+    """Height by age and gender: lines per gender, coefficients, scored roster, its mean.
+
+    Heights come in inches.
+    """
+    data = kids.withColumn("height", F.col("height") * CM_PER_INCH)
+    fit = fit_linear(data, CHILDREN)
+    scored = score_roster(fit, roster)
+    return {
+        "lines": group_line(data, "gender", "age", "height"),
+        "coefficients": fit.coefficients(),
+        "scored": scored,
+        "mean": roster_mean(scored),
+    }
+
+
 def score_roster(fit: LinearFit, roster: DataFrame, out: str = "predicted_height") -> DataFrame:
     """Predicted value for every member of a roster."""
     return fit.score(roster, out)

@@ -213,12 +213,21 @@ def test_children_model_recovers_a_known_line(spark):
     kids = spark.createDataFrame(
         [(float(a), "M" if m else "F", float(h)) for a, m, h in zip(age, male, inches)],
         "age double, gender string, height double",
-    ).withColumn("height", F.col("height") * 2.54)
-    rows = fit_linear(kids, studies.CHILDREN).coefficients().collect()
+    )
+    roster = spark.createDataFrame([("Anna", "F", 60.0), ("Luca", "M", 36.0)], "name string, gender string, age double")
+    out = studies.children(kids, roster)
+    rows = out["coefficients"].collect()
     assert [r["term"] for r in rows] == ["(Intercept)", "age", "genderM"]
     x = np.column_stack([np.ones(400), age, male])
     expected = np.linalg.lstsq(x, inches * 2.54, rcond=None)[0]
     assert [r["estimate"] for r in rows] == pytest.approx(list(expected), abs=1e-8)
+    heights = np.array([[1, 60, 0], [1, 36, 1]]) @ expected
+    assert [r["predicted_height"] for r in collect(out["scored"], "name")] == pytest.approx(list(heights))
+    assert out["mean"].first()[0] == pytest.approx(heights.mean())
+    for r in out["lines"].collect():
+        own = male == (r["gender"] == "M")
+        slope, intercept = np.polyfit(age[own], inches[own] * 2.54, 1)
+        assert (r["slope"], r["intercept"]) == pytest.approx((slope, intercept))
 
 
 def test_bad_specs():

@@ -70,3 +70,11 @@ def test_settle_uses_the_named_folder(spark):
 def test_settle_keeps_an_empty_table(spark):
     table = settle(spark.createDataFrame([], "a string, b double"))
     assert table.count() == 0 and table.columns == ["a", "b"]
+
+
+def test_partitioned_write_makes_one_file_per_small_area(spark, tmp_path):
+    df = spark.range(4000, numPartitions=16).withColumn("abb", F.concat(F.lit("a"), F.col("id") % 5))
+    path = tmp_path / "t"
+    write_table(df, str(path), partition_by="abb")
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in path.iterdir() if d.is_dir()}
+    assert files == {f"abb=a{k}": 1 for k in range(5)}
