@@ -121,17 +121,22 @@ def fit_stack_cells(
     levels = {c: f.levels for c, f in factor_levels(everything, texts, spec).items()}
     spec = spec.but(levels=levels)
 
-    def run(job):
-        k, name = job
-        if k is None:
-            return learners[name](everything, spec)
-        return learners[name](merged(by_fold.filter(F.col(fold) != k)), spec)
-
     jobs = [(k, name) for k in [None, *range(folds)] for name in names]
     # Independent fits are submitted side by side, as in Spark's own cross-validator.
     with ThreadPoolExecutor(parallelism) as pool:
-        wrapped = inheritable_thread_target(by_fold.sparkSession)(run)
-        fitted = dict(zip(jobs, pool.map(wrapped, jobs)))
+        inherit = inheritable_thread_target(by_fold.sparkSession)
+
+        def training(k):
+            return settle(merged(by_fold.filter(F.col(fold) != k)), "cells")
+
+        cells = dict(zip(range(folds), pool.map(inherit(training), range(folds))))
+        cells[None] = everything
+
+        def run(job):
+            k, name = job
+            return learners[name](cells[k], spec)
+
+        fitted = dict(zip(jobs, pool.map(inherit(run), jobs)))
 
     def held_out(k):
         part = by_fold.filter(F.col(fold) == k)

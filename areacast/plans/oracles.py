@@ -94,6 +94,21 @@ it AS (SELECT 0 AS k, abb, sum(y) AS s, CAST(count(*) AS DOUBLE) AS n,
              FROM (SELECT k, abb, s, n, u, b + sum(s - n * p) OVER () / sum(n * p * (1 - p)) OVER () AS b
                    FROM (SELECT *, 1 / (1 + exp(-(b + u))) AS p FROM it WHERE k < 4000))))"""
 
+# Random intercepts of estimated variance v at the Laplace optimum: joint Newton steps
+# for the mean b and the effects u, and a ratio step for v, from the derivatives of
+# the approximate likelihood.
+LAPLACE = f"""WITH RECURSIVE {SURVEY},
+it AS (SELECT 0 AS k, abb, sum(y) AS s, CAST(count(*) AS DOUBLE) AS n,
+              CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS u, CAST(0.1 AS DOUBLE) AS v
+       FROM done GROUP BY abb
+       UNION ALL
+       SELECT k + 1, abb, s, n, b + db, v * h * (w * u + r - w * db),
+              v * greatest(0.2, least(5, sum(r * r - r * h * t) OVER () / sum(w * h) OVER ()))
+       FROM (SELECT *, sum(h * (r + w * u - 0.5 * t)) OVER () / sum(w * h) OVER () AS db
+             FROM (SELECT *, w * (1 - 2 * p) * v * h AS t
+             FROM (SELECT *, n * p * (1 - p) AS w, s - n * p AS r, 1 / (1 + v * n * p * (1 - p)) AS h
+                   FROM (SELECT *, 1 / (1 + exp(-(b + u))) AS p FROM it WHERE k < 3000)))))"""
+
 # One standardised predictor under an L1 penalty of 0.001, by coordinate steps.
 LASSO_1X = f"""WITH RECURSIVE {SURVEY},
 m AS (SELECT avg(balance) AS mx, stddev_pop(balance) AS sx, count(*) AS nn FROM done),
@@ -335,6 +350,8 @@ ORACLES: dict[str, str] = {
     "multilevel_unpooled": AREA_MEAN,
     "multilevel_given_variance": f"""{GIVEN_VARIANCE}
         SELECT abb, round(1 / (1 + exp(-(b + u))), 6) AS estimate FROM it WHERE k = 4000""",
+    "multilevel_areas": f"""{LAPLACE} SELECT abb, round(1 / (1 + exp(-(b + u))), 6) AS estimate
+        FROM it WHERE k = 3000""",
     "lasso_full_penalty": OVERALL_MEAN,
     "lasso_1x": f"""{LASSO_1X} SELECT '(Intercept)' AS term, round(b0 - b1 * mx / sx, 6) AS estimate,
         CAST(0.001 AS DOUBLE) AS penalty FROM fin
@@ -343,6 +360,20 @@ ORACLES: dict[str, str] = {
         SELECT term, round(b / sd, 4) AS estimate, CAST(0.003 AS DOUBLE) AS penalty FROM fin JOIN terms USING (j)
         UNION ALL SELECT '(Intercept)', round(any_value(i.b) - sum(fin.b * m / sd), 4), CAST(0.003 AS DOUBLE)
         FROM fin JOIN terms USING (j), (SELECT b FROM fin WHERE j = 0) AS i""",
+    "stack_weights": f"""{WITH},
+        d AS (SELECT CAST('0x' || substring(md5(CAST(caseid AS VARCHAR) || ':fold:42'), 1, 13) AS BIGINT) % 5 AS fold,
+                     priority, sum(y) AS s, CAST(count(*) AS DOUBLE) AS n FROM done GROUP BY ALL),
+        z AS (SELECT s, n,
+                (sum(s) OVER () - sum(s) OVER (PARTITION BY fold)) /
+                (sum(n) OVER () - sum(n) OVER (PARTITION BY fold)) AS z1,
+                (sum(s) OVER (PARTITION BY priority) - s) / (sum(n) OVER (PARTITION BY priority) - n) AS z2
+              FROM d),
+        g AS (SELECT sum(n * z1 * z1) AS a, sum(n * z1 * z2) AS b, sum(n * z2 * z2) AS c,
+                     sum(s * z1) AS e, sum(s * z2) AS f, sum(s) AS q, sum(n) AS nn FROM z),
+        w AS (SELECT *, (e * c - f * b) / (a * c - b * b) AS u1, (f * a - e * b) / (a * c - b * b) AS u2 FROM g),
+        v AS (SELECT *, CASE WHEN u1 < 0 THEN 0 WHEN u2 < 0 THEN 1 ELSE u1 / (u1 + u2) END AS w1 FROM w)
+        SELECT 'overall' AS learner, round(w1, 6) AS weight, round((q - 2 * e + a) / nn, 6) AS cv_risk FROM v
+        UNION ALL SELECT 'by_priority', round(1 - w1, 6), round((q - 2 * f + c) / nn, 6) FROM v""",
     "mrp_complete_pooling": f"""{_two_way('logit')},
         f AS (SELECT abb, priority, segment, count(*) AS n FROM done GROUP BY ALL)
         SELECT abb, round(sum(f.n * mu) / sum(f.n), 6) AS estimate

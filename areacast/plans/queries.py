@@ -16,7 +16,7 @@ from areacast.functions import recode as rc
 from areacast.functions import stats
 from areacast.models.forest import fit_forest
 from areacast.models.lasso import fit_lasso
-from areacast.models.linear import fit_linear
+from areacast.models.linear import fit_linear, fit_linear_cells
 from areacast.models.multilevel import fit_multilevel
 from areacast.models.predict import LinearPredictor
 from areacast.models.spec import ModelSpec
@@ -619,6 +619,12 @@ def multilevel_given_variance(spark, folder):
     return _mrp(tally(spark, folder, []), RANDOM_AREA, fit_multilevel, covariance=[[0.05]])
 
 
+@query
+def multilevel_areas(spark, folder):
+    """Random intercepts of estimated variance, at the Laplace optimum."""
+    return _mrp(tally(spark, folder, []), RANDOM_AREA, fit_multilevel)
+
+
 @query
 def lasso_1x(spark, folder):
     fit = fit_lasso(complete(spark, folder), ModelSpec("y", ["balance"]), penalty=0.001)
@@ -641,6 +647,20 @@ def lasso_full_penalty(spark, folder):
     return _mrp(tally(spark, folder), spec, fit_lasso, penalty=1.0)
 
 
+@query
+def stack_weights(spark, folder):
+    """Weights of an overall mean and of group means, from five folds."""
+    fold = {"fold": stats.fold_of(["caseid"], 5, 42)}
+    cells = tally(spark, folder, ["priority"], extra=fold)
+    learners = {
+        "overall": lambda df, spec: fit_linear_cells(df, spec.but(fixed=())),
+        "by_priority": linear_learner(),
+    }
+    spec = ModelSpec("y", ["priority"], weight="n")
+    fit = fit_stack(cells, spec, learners, folds=5, fold="fold")
+    return rounded(fit.member_table(), "weight", "cv_risk")
+
+
 # --- estimates of the full models ----------------------------------------
 
 
