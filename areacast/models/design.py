@@ -77,6 +77,23 @@ class Moments:
     kept: tuple[int, ...]
 
 
+def _independent(corr: np.ndarray, order: list[int]) -> list[int]:
+    """Columns, taken in order, that are not a combination of those before them."""
+    try:
+        pivots = np.diag(np.linalg.cholesky(corr[np.ix_(order, order)])) ** 2
+        if (pivots >= ALIAS_TOLERANCE).all():
+            return order
+    except np.linalg.LinAlgError:
+        pass
+    kept = []
+    for j in order:
+        pivot = corr[j, j]
+        if pivot >= ALIAS_TOLERANCE:
+            kept.append(j)
+            corr = corr - np.outer(corr[:, j], corr[j, :]) / pivot
+    return kept
+
+
 @dataclass(frozen=True)
 class Design:
     """Coding of the fixed terms.
@@ -174,11 +191,5 @@ class Design:
         sd = np.sqrt(np.where(varies, variance, 0.0))
         unit = np.where(varies, sd, 1.0)
         corr = (m[1:, 1:] / total - np.outer(mean, mean)) / np.outer(unit, unit)
-        kept = []
-        for j in self.reading_order():
-            pivot = corr[j, j]
-            if not varies[j] or pivot < ALIAS_TOLERANCE:
-                continue
-            kept.append(j)
-            corr = corr - np.outer(corr[:, j], corr[j, :]) / pivot
+        kept = _independent(corr, [j for j in self.reading_order() if varies[j]])
         return Moments(total, mean, sd, tuple(sorted(kept)))

@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Dense design entries held at once by a task.
+# Rows times columns a task works on at once.
 CHUNK_ENTRIES = 2_000_000
 _LOSS = -1
 
@@ -26,14 +26,14 @@ class Layout:
     """How a coded cell becomes a design row.
 
     ``terms`` holds (column, width): width 0 is a numeric column, a positive width
-    the number of dummies of a level number, and -1 a factor with a single level.  Column 0 is the intercept; ``keep``,
-    ``shift`` and ``scale`` refer to the columns after it.
+    the number of dummies of a level number, and -1 a factor with a single level.
+    Column 0 is the intercept; ``keep`` lists the columns after it that are used.
+    ``centre`` holds (column, mean, deviation) of numeric columns to standardise.
     """
 
     terms: tuple[tuple[str, int], ...]
     keep: tuple[int, ...] | None = None
-    shift: tuple[float, ...] | None = None
-    scale: tuple[float, ...] | None = None
+    centre: tuple[tuple[str, float, float], ...] = ()
     group: str | None = None
     slopes: tuple[str, ...] = ()
     slope_shift: tuple[float, ...] = ()
@@ -44,32 +44,42 @@ class Layout:
         names = [c for c, _ in self.terms] + list(self.slopes)
         return list(dict.fromkeys(names + ([self.group] if self.group else [])))
 
+    @property
+    def columns(self) -> int:
+        """Design columns after the intercept, used or not."""
+        return sum(max(w, 1) if w >= 0 else 0 for _, w in self.terms)
+
     @property
     def width(self) -> int:
-        if self.keep is not None:
-            return 1 + len(self.keep)
-        return 1 + sum(max(w, 1) if w >= 0 else 0 for _, w in self.terms)
+        return 1 + (self.columns if self.keep is None else len(self.keep))
+
+    def entries(self, pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Design rows as one (position, value) pair of arrays per term.
 
-    def fixed(self, pdf: pd.DataFrame) -> np.ndarray:
-        """Dense design rows, intercept first."""
+        A row has one entry per term however many dummies there are, so the work
+        grows with the terms, not with the columns.
+        """
         rows = len(pdf)
-        parts = []
+        kept = range(self.columns) if self.keep is None else self.keep
+        place = np.full(self.columns, -1)
+        place[list(kept)] = 1 + np.arange(len(kept))
+        scaling = {c: (m, s) for c, m, s in self.centre}
+        out = [(np.zeros(rows, dtype=int), np.ones(rows))]
+        start = 0
         for column, width in self.terms:
             values = pdf[column].to_numpy(dtype=float)
             if width == 0:
-                parts.append(values[:, None])
+                mean, deviation = scaling.get(column, (0.0, 1.0))
+                if place[start] >= 0:
+                    out.append((np.full(rows, place[start]), (values - mean) / deviation))
+                start += 1
             elif width > 0:
                 level = values.astype(int)
-                dummies = np.zeros((rows, width))
-                hit = np.flatnonzero(level < width)
-                dummies[hit, level[hit]] = 1.0
-                parts.append(dummies)
-        x = np.hstack(parts) if parts else np.zeros((rows, 0))
-        if self.keep is not None:
-            x = x[:, list(self.keep)]
-        if self.shift is not None:
-            x = (x - np.asarray(self.shift)) / np.asarray(self.scale)
-        return np.hstack([np.ones((rows, 1)), x])
+                # The baseline has the highest level number and no column.
+                position = np.append(place[start : start + width], -1)[np.minimum(level, width)]
+                out.append((np.maximum(position, 0), (position >= 0).astype(float)))
+                start += width
+        return out
 
     def grouped(self, pdf: pd.DataFrame) -> np.ndarray:
         """Random-effect design rows: intercept and scaled slopes."""
@@ -109,6 +119,20 @@ def _weights(eta, n, s, family):
     return w, w * (1.0 - 2.0 * mu), s - n * mu, float(np.sum(s * eta - n * np.logaddexp(0.0, eta)))
 
 
+def _group_sums(entries, z, j, w, r, t, width):
+    """Per group in the chunk: Z'WZ, X'WZ, Z'r and Z't, flattened side by side."""
+    q = z.shape[1]
+    ids, at = np.unique(j, return_inverse=True)
+    fixed = np.zeros((len(ids), width, q))
+    for position, value in entries:
+        np.add.at(fixed, (at, position), (w * value)[:, None] * z)
+    own = np.zeros((len(ids), q * q + 2 * q))
+    pieces = [(z[:, :, None] * z[:, None, :] * w[:, None, None]).reshape(len(z), -1)]
+    pieces += [z * r[:, None], z * t[:, None]]
+    np.add.at(own, at, np.hstack(pieces))
+    return ids, np.hstack([own[:, : q * q], fixed.reshape(len(ids), -1), own[:, q * q :]])
+
+
 def _task(layout: Layout, family: str, beta, effects, spread):
     """Body of a task: cells in, partial sums out."""
 
@@ -116,19 +140,21 @@ def _task(layout: Layout, family: str, beta, effects, spread):
         return pd.DataFrame({"block": np.asarray(keys, dtype=np.int64), "sums": list(values)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((layout.width, layout.width + 2))
+        width = layout.width
+        total = np.zeros((width, width + 2))
+        cells = total.ravel()
         loss = 0.0
-        step = max(1, CHUNK_ENTRIES // layout.width)
+        step = max(1, CHUNK_ENTRIES // width)
         for batch in batches:
             for start in range(0, len(batch), step):
                 pdf = batch.iloc[start : start + step]
-                x = layout.fixed(pdf)
+                entries = layout.entries(pdf)
                 n, s = pdf["_n"].to_numpy(dtype=float), pdf["_s"].to_numpy(dtype=float)
                 t = np.zeros_like(n)
                 if beta is None:
                     w, r = n, s
                 else:
-                    eta = x @ beta
+                    eta = sum(beta[position] * value for position, value in entries)
                     if layout.group:
                         z = layout.grouped(pdf)
                         j = pdf[layout.group].to_numpy(dtype=int)
@@ -137,20 +163,16 @@ def _task(layout: Layout, family: str, beta, effects, spread):
                     loss += part
                     if layout.group:
                         t = slope * np.einsum("ia,iab,ib->i", z, spread[j], z)
-                wx = x * w[:, None]
-                total[:, :-2] += x.T @ wx
-                total[:, -2] += x.T @ r
-                total[:, -1] += x.T @ t
+                for row, left in entries:
+                    base = row * (width + 2)
+                    for column, right in entries:
+                        np.add.at(cells, base + column, w * left * right)
+                    np.add.at(cells, base + width, left * r)
+                    np.add.at(cells, base + width + 1, left * t)
                 if layout.group and beta is not None:
-                    q = z.shape[1]
-                    order = np.argsort(j, kind="stable")
-                    ids, first = np.unique(j[order], return_index=True)
-                    pieces = [z[:, a] * z[:, b] * w for a in range(q) for b in range(q)]
-                    pieces += [wx[:, k] * z[:, b] for k in range(x.shape[1]) for b in range(q)]
-                    pieces += [z[:, a] * v for v in (r, t) for a in range(q)]
-                    stacked = np.stack(pieces, axis=1)[order]
-                    yield frame(_LOSS - 1 - ids, np.add.reduceat(stacked, first, axis=0))
-        yield frame(np.arange(layout.width), total)
+                    ids, sums = _group_sums(entries, z, j, w, r, t, width)
+                    yield frame(_LOSS - 1 - ids, sums)
+        yield frame(np.arange(width), total)
         yield frame([_LOSS], [np.array([loss])])
 
     return run

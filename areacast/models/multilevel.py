@@ -155,10 +155,10 @@ def _tilted(sums, rhs_fixed, rhs_group, root):
     return beta, effects, spread, schur, gradient
 
 
-def _laplace_step(sums, rhs_fixed, rhs_group, sigma, steps: int = 20):
-    """Newton steps from the variance found without the tilts to the one with them.
+def _laplace_step(sums, rhs_fixed, rhs_group, sigma, steps: int = 25):
+    """Newton steps along the covariance root to the optimum with the tilts.
 
-    The two are close; a step that leads far away is not taken.
+    Returns nothing if they lead far away from where they start.
     """
     q = len(sigma)
     lower = np.tril_indices(q)
@@ -178,10 +178,9 @@ def _laplace_step(sums, rhs_fixed, rhs_group, sigma, steps: int = 20):
             [(solve(x + h * e)[-1] - solve(x - h * e)[-1]) / (2 * h) for e in np.eye(len(x))]
         )
         move = -np.linalg.lstsq(jacobian, gradient, rcond=1e-12)[0]
-        if not np.isfinite(move).all() or np.abs(x + move - start[lower]).max() > 0.5 * size:
-            x = start[lower]
-            break
         x = x + move
+        if not np.isfinite(x).all() or np.abs(x - start[lower]).max() > 0.5 * size:
+            return None
         if np.abs(move).max() < 1e-10 * size:
             break
     root = np.zeros((q, q))
@@ -190,6 +189,23 @@ def _laplace_step(sums, rhs_fixed, rhs_group, sigma, steps: int = 20):
     return beta, effects, root @ root.T, spread, schur
 
 
+def _estimate(sums, rhs_fixed, rhs_group, sigma, steps):
+    """Coefficients, effects and covariance of one linearisation.
+
+    Expectation-maximisation gets close, Newton steps finish.  Should they stray,
+    expectation-maximisation goes on to the end before they are tried again.
+    """
+    for tolerance in (1e-3, 1e-9):
+        beta, effects, sigma, schur = _variance_steps(
+            sums, rhs_fixed, rhs_group, sigma, False, steps, tolerance
+        )
+        found = _laplace_step(sums, rhs_fixed, rhs_group, sigma)
+        if found is not None:
+            return found
+    spread = np.linalg.inv(sums.group_cross + _invert(sigma))
+    return beta, effects, sigma, spread, schur
+
+
 def _laplace_deviance(sums: Sums, effects, sigma) -> float:
     precision = _invert(sigma)
     q = sigma.shape[0]
@@ -225,12 +241,15 @@ def fit_multilevel_cells(
     moments = design.moments(coded)
     kept = moments.kept
     slope_stats = _slope_moments(cells, slopes)
-    shift = moments.mean[list(kept)]
-    scale = moments.sd[list(kept)]
+    # Standardising the numeric terms leaves the model as it is and steadies the algebra.
+    numeric = np.array([design.columns[j][1] is None for j in kept], dtype=bool)
+    shift = np.where(numeric, moments.mean[list(kept)], 0.0)
+    scale = np.where(numeric, moments.sd[list(kept)], 1.0)
     layout: Layout = design.layout().but(
         keep=kept,
-        shift=tuple(shift),
-        scale=tuple(scale),
+        centre=tuple(
+            (design.columns[j][0], m, s) for j, m, s in zip(kept, shift, scale) if design.columns[j][1] is None
+        ),
         group=design.index_column(group_name),
         slopes=slopes,
         slope_shift=tuple(m for m, _ in slope_stats),
@@ -249,12 +268,13 @@ def fit_multilevel_cells(
             + np.einsum("jab,jb->ja", sums.group_cross, effects)
             + sums.group_score
         )
-        new_beta, new_effects, sigma, schur = _variance_steps(
-            sums, rhs_fixed, rhs_group, sigma, given, variance_steps, tol * 1e-2
-        )
-        if not given:
-            new_beta, new_effects, sigma, spread, schur = _laplace_step(
-                sums, rhs_fixed, rhs_group, sigma
+        if given:
+            new_beta, new_effects, sigma, schur = _variance_steps(
+                sums, rhs_fixed, rhs_group, sigma, True, 1, 0.0
+            )
+        else:
+            new_beta, new_effects, sigma, spread, schur = _estimate(
+                sums, rhs_fixed, rhs_group, sigma, variance_steps
             )
         change = max(np.max(np.abs(new_beta - beta)), np.max(np.abs(new_effects - effects)))
         beta, effects = new_beta, new_effects
