@@ -207,6 +207,10 @@ ORACLES: dict[str, str] = {
     "dimension_join": f"{WITH} SELECT caseid, abb, division FROM survey",
     "distinct_areas": f"""{WITH} SELECT abb, division, count(DISTINCT y) AS n_outcomes
         FROM survey GROUP BY abb, division""",
+    "area_dimension": """SELECT DISTINCT n_name AS abb, r_name AS division FROM customer
+        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "area_number": f"""{WITH} SELECT count(DISTINCT abb) AS n_areas,
+        count(DISTINCT division) AS n_divisions FROM survey""",
     "large_areas": f"""{WITH} SELECT caseid, abb FROM survey WHERE abb IN
         (SELECT abb FROM survey GROUP BY abb HAVING count(*) > 600)""",
     "area_counts": f"{WITH} SELECT abb, count(*) AS n FROM survey GROUP BY abb HAVING count(*) > 600",
@@ -251,6 +255,8 @@ ORACLES: dict[str, str] = {
         SELECT abb, round(p, 6) AS pct_support, n AS num_respondents,
         round(p - 1.96 * sqrt(p * (1 - p) / n), 6) AS conf_low,
         round(p + 1.96 * sqrt(p * (1 - p) / n), 6) AS conf_high FROM m""",
+    "first_areas": f"""{WITH}, m AS (SELECT abb, avg(y) AS e, count(*) AS num FROM done GROUP BY abb)
+        SELECT abb, round(e, 6) AS estimate, num FROM m ORDER BY e, abb LIMIT 6""",
     "line_area_mean": f"""{LINES} SELECT abb, line_status, round(avg(returned), 6) AS estimate,
         count(*) AS num FROM lines GROUP BY abb, line_status""",
     "psframe": f"{WITH} SELECT abb, priority, segment, count(*) AS n FROM survey GROUP BY ALL",
@@ -279,6 +285,10 @@ ORACLES: dict[str, str] = {
         ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey LIMIT 3000""",
     "sample_weighted": f"""SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 0
         ORDER BY -ln({U}) / o_totalprice, o_orderkey LIMIT 3000""",
+    "sample_biased": f"""SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders
+        ORDER BY -ln({U}) / (0.2::DOUBLE * o_totalprice / 10000 + CASE o_orderpriority
+          WHEN '1-URGENT' THEN 8.0::DOUBLE WHEN '2-HIGH' THEN 6.0 WHEN '3-MEDIUM' THEN 4.0
+          WHEN '4-NOT SPECIFIED' THEN 2.0 ELSE 0.5 END), o_orderkey LIMIT 3000""",
     "sample_disaggregate": f"""{WITH} SELECT abb, round(avg(y), 6) AS estimate, count(*) AS num
         FROM (SELECT * FROM done {DRAWN} 3000) GROUP BY abb""",
     "poststratify_fixed_coefs": f"""{WITH},
@@ -320,6 +330,9 @@ ORACLES: dict[str, str] = {
         c AS (SELECT c_mktsegment AS segment, avg(c_acctbal / 1000) AS cx FROM customer GROUP BY 1)
         SELECT g.segment, round(my + slope * (cx - mx), 6) AS mean_predicted
         FROM g JOIN c ON g.segment = c.segment, b""",
+    "roster_average": f"""{WITH}, m AS (
+        SELECT regr_intercept(y, balance) AS a, regr_slope(y, balance) AS b FROM done)
+        SELECT round(avg(a + b * c_acctbal / 1000), 6) AS mean_predicted FROM customer, m""",
     "mrsp_identity": AREA_MEAN,
     "evaluate_estimates": f"""{SAMPLE_AND_TRUTH} SELECT round(corr(estimate, truth), 6) AS correlation,
         round(avg(abs(estimate - truth)), 6) AS mean_abs_error

@@ -35,7 +35,7 @@ from areacast.plans.orders_survey import (
     source,
     tally,
 )
-from areacast.plans.studies import marginal_mean
+from areacast.plans.studies import marginal_mean, roster_mean, score_roster
 from areacast.sources import tables
 from areacast.sources.shared import settle, shared_path
 
@@ -218,6 +218,18 @@ def distinct_areas(spark, folder):
     return survey.groupBy(AREA, "division").agg(F.count_distinct("y").alias("n_outcomes"))
 
 
+@query
+def area_dimension(spark, folder):
+    """Distinct area and division out of all customers."""
+    return customers(spark, folder).select(AREA, "division").distinct()
+
+
+@query
+def area_number(spark, folder):
+    survey = respondents(spark, folder)
+    return survey.agg(F.count_distinct(AREA).alias("n_areas"), F.count_distinct("division").alias("n_divisions"))
+
+
 @query
 def large_areas(spark, folder):
     survey = respondents(spark, folder).select("caseid", AREA)
@@ -336,6 +348,13 @@ def area_interval(spark, folder):
     return rounded(out, "pct_support", "conf_low", "conf_high")
 
 
+@query
+def first_areas(spark, folder):
+    """The six areas with the lowest support."""
+    means = ps.disaggregate(complete(spark, folder), AREA, "y")
+    return rounded(evaluate.ordered_areas(means, AREA, "estimate").limit(6), "estimate")
+
+
 @query
 def line_area_mean(spark, folder):
     """The large table: share of returned lines by area and line status."""
@@ -432,6 +451,15 @@ def sample_weighted(spark, folder):
     return sampling.sample_weighted(orders, SAMPLE, "o_orderkey", "o_totalprice", 42)
 
 
+@query
+def sample_biased(spark, folder):
+    """Weights from a covariate and a bonus per level, as for a biased panel."""
+    bonus = {"1-URGENT": 8.0, "2-HIGH": 6.0, "3-MEDIUM": 4.0, "4-NOT SPECIFIED": 2.0}
+    weight = 0.2 * F.col("o_totalprice") / 10000 + rc.recode("o_orderpriority", bonus, 0.5)
+    orders = source(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return sampling.sample_weighted(orders, SAMPLE, "o_orderkey", weight, 42)
+
+
 @query
 def sample_disaggregate(spark, folder):
     """Means by area in a uniform sample."""
@@ -526,6 +554,14 @@ def roster_scores(spark, folder):
     return rounded(means, "mean_predicted")
 
 
+@query
+def roster_average(spark, folder):
+    """One mean over the whole scored roster."""
+    fit = fit_linear(complete(spark, folder), ModelSpec("y", ["balance"], family="gaussian"))
+    scored = score_roster(fit, customers(spark, folder), "predicted")
+    return rounded(roster_mean(scored, "predicted", "mean_predicted"), "mean_predicted")
+
+
 @query
 def mrsp_identity(spark, folder):
     """Synthetic frame under an additive linear model equals the joint frame."""

@@ -72,6 +72,7 @@ def main() -> None:
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     spark.stop()
+    scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(
         json.dumps(
             {
@@ -79,7 +80,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
-                "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
+                "sf": float(scale) if scale.replace(".", "", 1).isdigit() else scale,
             }
         )
     )
