@@ -32,16 +32,20 @@ def _constant(column: str) -> Column:
 def psframe(df: DataFrame, area, predictors, weight: str | None = None, attributes=()) -> DataFrame:
     """Count every distinct combination of area and predictors.
 
-    ``attributes`` (area constants such as a division or a vote share) ride along
-    without widening the shuffle key; the rows are those of a count over all
-    columns.  ``weight`` sums a weight in place of counting rows.
+    ``attributes`` (area constants such as a division or a vote share) give the
+    rows of a count over all columns.  Numeric ones ride along as aggregates, which
+    keeps floating-point numbers out of the shuffle key; text ones join the key,
+    because aggregating text would force a sort of all rows.  ``weight`` sums a
+    weight in place of counting rows.
     """
     keys = as_list(area) + as_list(predictors)
     attrs = as_list(attributes)
-    kinds = {a: df.schema[a].dataType for a in attrs}
-    return df.groupBy(*keys).agg(
-        *[_constant(a).cast(kinds[a]).alias(a) for a in attrs], _size(weight).alias("n")
+    riding = [a for a in attrs if isinstance(df.schema[a].dataType, T.NumericType)]
+    counted = df.groupBy(*keys, *[a for a in attrs if a not in riding]).agg(
+        *[_constant(a).cast(df.schema[a].dataType).alias(a) for a in riding],
+        _size(weight).alias("n"),
     )
+    return counted.select(*keys, *attrs, "n")
 
 
 def shares(counts: DataFrame, by, n: str = "n", out: str = "prob") -> DataFrame:

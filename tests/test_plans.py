@@ -39,6 +39,15 @@ def test_frame_is_one_shuffle_of_partial_counts(spark):
     assert "partial_count" in text and "SortMergeJoin" not in text
 
 
+def test_rows_are_never_sorted_to_be_counted(spark):
+    """Attributes of any type leave the partial aggregation a hash aggregation."""
+    text = plan(queries.QUERIES["psframe_attrs"](spark, FOLDER))
+    assert "SortAggregate" not in text and text.count("HashAggregate") >= 2
+    survey = orders_survey.complete(spark, FOLDER, with_covariate=True)
+    text = plan(frames.psframe(survey, "abb", ["priority"], attributes=["division", "covariate"]))
+    assert "SortAggregate" not in text and "Sort [" not in text
+
+
 def test_scan_reads_only_needed_columns(spark):
     text = plan(queries.QUERIES["area_mean"](spark, FOLDER))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
