@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from areacast.operators.joins import as_list, lookup_join
+from areacast.sources.shared import settle
 
 
 def complete_cases(df: DataFrame, columns=None) -> DataFrame:
@@ -36,10 +37,14 @@ def areas_above(df: DataFrame, area, min_exclusive: int) -> DataFrame:
     )
 
 
-def keep_large_areas(df: DataFrame, area, min_exclusive: int, counts_from: DataFrame | None = None) -> DataFrame:
+def keep_large_areas(
+    df: DataFrame, area, min_exclusive: int, counts_from: DataFrame | None = None
+) -> DataFrame:
     """Keep rows of the areas that pass ``areas_above`` on ``counts_from`` (or ``df``).
 
-    The kept list stays distributed; a missing area that passes is kept too.
+    The kept list is a small written table, so the counting pass (over the area
+    column alone) runs once.  A missing area that passes is kept too.
     """
-    kept = areas_above(df if counts_from is None else counts_from, area, min_exclusive)
+    counts = areas_above(df if counts_from is None else counts_from, area, min_exclusive)
+    kept = settle(counts.select(*as_list(area)), "kept")
     return lookup_join(df, kept, area, how="left_semi", null_safe=True)

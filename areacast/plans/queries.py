@@ -259,7 +259,6 @@ def clean_survey(spark, folder):
         "y",
         r6("covariate").alias("covariate"),
     )
-    tidy = settle(tidy, "tidy")
     large = filters.keep_large_areas(tidy, AREA, MIN_ORDERS)
     return filters.complete_cases(large)
 

@@ -1,6 +1,5 @@
 import numpy as np
 import pandas as pd
-import pytest
 from conftest import collect
 from pyspark.sql import functions as F
 
