@@ -120,6 +120,8 @@ def quality_rules(
     repeated = placed.withColumn(
         "n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")
     ).drop("p")
+    # Through a generator, so that a caller's filter is not evaluated inside the counts.
+    repeated = repeated.select(F.inline(F.array(F.struct(*repeated.columns))))
     metrics = _metrics()
     broken = F.filter(
         F.array(
