@@ -1,4 +1,8 @@
-"""Probability forest on weighted cells."""
+"""Probability forest on weighted cells.
+
+Trees are grown on the 0/1 outcome as a number: variance splits are those of the Gini
+index, and a leaf predicts its share, which a tree that votes for a class would lose.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +21,9 @@ from areacast.models.linear import two_rows_per_cell
 from areacast.models.spec import ModelSpec, collapse, is_factor
 from areacast.sources.shared import settle
 
+#: Partitions that the bootstrap draws from, on any number of cores.
+DRAWS = 32
+
 
 def _features(df: DataFrame, terms: Sequence[str], factors: dict[str, Factor]) -> DataFrame:
     """Text terms as level numbers in alphabetical order, split like numbers."""
@@ -42,25 +49,29 @@ def _resampling_units(rows: DataFrame, units: int) -> DataFrame:
     it does when respondents are drawn one by one, and exactly so up to ``units``.
     """
     parts = F.least(F.ceil("_w"), F.lit(units)).cast("int")
-    tasks = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < tasks:
-        # Few cells sit in one file; give every core a share of what they become.
-        rows = rows.repartition(tasks)
     split = rows.withColumn("_part", F.explode(F.sequence(F.lit(1), F.greatest(parts, F.lit(1)))))
-    return split.withColumn("_w", F.col("_w") / F.greatest(parts, F.lit(1)))
+    split = split.withColumn("_w", F.col("_w") / F.greatest(parts, F.lit(1)))
+    # The learner draws by partition: the same rows in the same order on any cluster.
+    key = vector_to_array("features")
+    return (
+        split.withColumn("_key", key)
+        .repartition(DRAWS, "_key", "label", "_part")
+        .sortWithinPartitions("_key", "label", "_part")
+        .drop("_key")
+    )
 
 
 @dataclass(frozen=True)
 class ForestFit:
     spec: ModelSpec
     factors: dict[str, Factor]
-    model: RandomForestClassificationModel
+    model: RandomForestRegressionModel
 
     def score(self, frame: DataFrame, out: str = "predicted_probability") -> DataFrame:
         """Append the probability of outcome 1; an unseen level fails the job."""
         data = _features(frame, self.spec.fixed, self.factors)
         scored = self.model.transform(data)
-        scored = scored.withColumn(out, vector_to_array("probability")[1])
+        scored = scored.withColumn(out, F.col("prediction"))
         return scored.select(*[c for c in frame.columns if c != out], out)
 
 
@@ -82,7 +93,7 @@ def fit_forest_cells(
     factors = factor_levels(cells, texts, spec)
     bins = max([max_bins, *[len(f.levels) + 1 for f in factors.values()]])
     data = _resampling_units(two_rows_per_cell(_features(cells, spec.fixed, factors)), units)
-    model = RandomForestClassifier(
+    model = RandomForestRegressor(
         weightCol="_w", numTrees=trees, maxDepth=max_depth, maxBins=bins,
         featureSubsetStrategy=str(max(1, math.isqrt(len(spec.fixed)))), seed=seed,
         maxMemoryInMB=512,

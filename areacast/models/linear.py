@@ -87,7 +87,12 @@ class LinearFit:
             ).first()
             free = n - len(beta)
             covariance = covariance * (max(rss, 0.0) / free if free > 0 else math.nan)
-        return np.sqrt(np.maximum(np.diag(covariance), 0.0))
+        variances = np.diag(covariance)
+        scale = np.sqrt(np.abs(np.diag(sums.cross)))
+        scaled = sums.cross / np.outer(scale, scale) if (scale > 0).all() else None
+        if scaled is None or np.linalg.cond(scaled) > 1e12 or (variances < 0).any():
+            return np.full(len(beta), np.nan)
+        return np.sqrt(variances)
 
     def coefficients(self, z: float = Z95) -> DataFrame:
         """Table of term, estimate, std_error, conf_low and conf_high.

@@ -9,16 +9,28 @@ from pyspark.sql import types as T
 from areacast.functions.recode import clean_names
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    header: bool = True,
+    multi_line: bool = True,
+) -> DataFrame:
     """Read declared columns from a (possibly very wide) CSV by their cleaned names.
 
     Only the header line is looked at up front; there is no pass to infer types.
     Columns outside ``schema`` are never parsed, and a cell that is not a valid
-    value of its declared type is missing.
+    value of its declared type is missing.  Quoted cells may hold commas, doubled
+    quotes and line breaks; a record with more or fewer cells than the header fails
+    the job.  ``multi_line=False`` lets large files be split among tasks, for files
+    without line breaks in cells.
     """
     if not header:
         raise ValueError("columns are matched by name, so the file needs a header")
-    raw = clean_names(spark.read.option("header", True).csv(path))
+    reader = spark.read.options(
+        header=True, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST"
+    )
+    raw = clean_names(reader.csv(path))
     absent = [f.name for f in schema if f.name not in raw.columns]
     if absent:
         raise ValueError(f"columns missing from {path}: {absent}")

@@ -78,3 +78,11 @@ def test_partitioned_write_makes_one_file_per_small_area(spark, tmp_path):
     write_table(df, str(path), partition_by="abb")
     files = {d.name: len(list(d.glob("*.parquet"))) for d in path.iterdir() if d.is_dir()}
     assert files == {f"abb=a{k}": 1 for k in range(5)}
+
+
+def test_quoted_cells(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('case_id,note\n1,"a\nb, c"\n2,"say ""hi"""\n3,NA\n')
+    schema = T.StructType().add("case_id", "long").add("note", "string")
+    rows = [tuple(r) for r in read_csv(spark, str(path), schema).orderBy("case_id").collect()]
+    assert rows == [(1, "a\nb, c"), (2, 'say "hi"'), (3, None)]

@@ -103,3 +103,13 @@ def test_level_seen_only_in_one_fold(spark):
     df = spark.createDataFrame(rows, "id int, g string, y double")
     fit = fit_stack(df, ModelSpec("y", ["g"]), {"glm": linear_learner()}, "id", folds=4)
     assert fit.weights == {"glm": 1.0}
+
+
+def test_forest_returns_the_share_of_each_level(spark):
+    shares = [0.05 + 0.04 * k for k in range(10)]
+    rows = [(f"l{k}", float(y), 1000 * (p if y else 1 - p)) for k, p in enumerate(shares) for y in (0, 1)]
+    df = spark.createDataFrame(rows, "g string, y double, n double")
+    fit = fit_forest(df, ModelSpec("y", ["g"], weight="n"), trees=50, max_depth=8)
+    scored = fit.score(df.select("g").distinct()).collect()
+    for r in scored:
+        assert abs(r["predicted_probability"] - shares[int(r["g"][1:])]) < 0.02
