@@ -1,8 +1,8 @@
 """Substring dedup: passages that stand in an earlier document are removed.
 
 A window of consecutive words is keyed by the smallest hash among its short n-grams
-(its minimizer), so equal windows have equal keys.  Keys held by several documents are
-found first.  Runs of windows with such a key then go, as short segments of words, to
+(its minimizer), so equal windows have equal keys.  Of documents with equal words only
+the first is looked at.  Keys held by several of these are found first.  Runs of windows with such a key then go, as short segments of words, to
 the shard of the key, which indexes them (``fmindex``) and streams them through the
 index: the matching statistics of each window tell whether it stands elsewhere, and the
 range of its suffixes which document is the first to hold it.  What one task already
@@ -24,7 +24,7 @@ from areacast.llm.fmindex import SegmentIndex
 from areacast.llm.text import rows, signed, window_hashes, word_hashes, words
 from areacast.sources.shared import settle
 
-GRAM = 5
+GRAM = 7
 #: Rows from which a key's windows go to shards by their own hash.  Plan only.
 HOT = 4096
 _HOT_BITS = 20
@@ -69,29 +69,34 @@ def remove_repeats(
     )
     keyed = settle(
         docs.where("id is not null")
-        .select("id", "text")
-        .mapInArrow(_keys(window), "route long, key long, id long, known boolean")
+        .select("text")
+        .mapInArrow(_keys(window), "route long, key long, doc long, known boolean")
         .repartition("route")
-        .sortWithinPartitions("known", "key", "id")
-        .mapInArrow(_shared, "key long, id long, rows long"),
+        .sortWithinPartitions("known", "key", "doc")
+        .mapInArrow(_shared, "key long, doc long, rows long"),
         "keys",
     )
-    shared = keyed.where("id is not null").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    packed = docs.mapInArrow(_packed, "id long, hash long, n_words long, sha string, body binary")
+    prints = settle(docs.mapInArrow(_printed, "id long, hash long, n_words long, sha string, doc long"), "prints")
+    first = (
+        prints.where("id is not null")
+        .groupBy("sha")
+        .agg(F.min("id").alias("first"), F.min("doc").alias("doc"))
+    )
+    shared = keyed.where("doc is not null").groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    asked = first.join(shared, "doc").select(F.col("first").alias("id"), "sha", "keys")
     held = settle(
-        packed.join(shared, "id", "left").select(
-            "id", "hash", "n_words", "sha", F.when(F.col("keys").isNotNull(), F.col("body")).alias("body"), "keys"
+        docs.mapInArrow(_packed, "id long, hash long, n_words long, sha string, body binary").join(
+            asked, ["id", "sha"]
         ),
         "passages",
     )
-    affected = held.where("keys is not null")
     hot = spark.sparkContext.broadcast(_hot(keyed))
     shards = max(
         spark.sparkContext.defaultParallelism,
-        (affected.agg(F.sum(F.size("keys"))).first()[0] or 0) // SHARD + 1,
+        (held.agg(F.sum(F.size("keys"))).first()[0] or 0) // SHARD + 1,
     )
-    answers = (
-        affected.select("id", "sha", "body", "keys")
+    answers = settle(
+        held.select("id", "sha", "body", "keys")
         .mapInArrow(
             _segments(window, hot, shards),
             "shard int, id long, words binary, width int, row array<string>, start array<int>",
@@ -100,10 +105,11 @@ def remove_repeats(
         .mapInArrow(_matched(window), "id long, row string, start int, end int")
         .groupBy("id", "row")
         .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-        .select(F.col("id").alias("i"), F.col("row").alias("r"), "spans")
+        .select(F.col("id").alias("i"), F.col("row").alias("r"), "spans"),
+        "spans",
     )
     found = (
-        affected.select("id", "hash", "n_words", "sha", "body")
+        held.select("id", "hash", "n_words", "sha", "body")
         .join(answers, (F.col("id") == F.col("i")) & (F.col("sha") == F.col("r")))
         .select("id", "hash", "n_words", "body", "spans")
         .mapInArrow(
@@ -111,20 +117,29 @@ def remove_repeats(
             "id long, text_hash long, n_words long, n_removed long, kept_sha256 string, kept_text string",
         )
     )
-    answered = answers.select("i", "r").distinct()
-    untouched = (
-        held.select("id", "hash", "n_words", "sha")
-        .join(answered, (F.col("id") == F.col("i")) & (F.col("sha") == F.col("r")), "left_anti")
+    rest = (
+        prints.join(first.select("sha", "first"), "sha", "left")
+        .join(
+            answers.select("i", "r"), (F.col("id") == F.col("i")) & (F.col("sha") == F.col("r")), "left_anti"
+        )
+        .withColumn("copy", F.coalesce((F.col("id") > F.col("first")) & (F.col("n_words") >= window), F.lit(False)))
         .select(
             "id",
             F.col("hash").alias("text_hash"),
             "n_words",
-            F.lit(0).cast("long").alias("n_removed"),
-            F.col("sha").alias("kept_sha256"),
-            F.lit(None).cast("string").alias("kept_text"),
+            F.when(F.col("copy"), F.col("n_words")).otherwise(0).cast("long").alias("n_removed"),
+            F.when(F.col("copy"), F.lit(hashlib.sha256(b"").hexdigest()))
+            .otherwise(F.col("sha"))
+            .alias("kept_sha256"),
+            F.when(F.col("copy"), F.lit("")).alias("kept_text"),
         )
     )
-    return found.unionByName(untouched).withColumnRenamed("id", id)
+    return found.unionByName(rest).withColumnRenamed("id", id)
+
+
+def _doc(body: bytes) -> int:
+    """A document's name among the keys: equal words, equal name."""
+    return int.from_bytes(hashlib.sha256(body).digest()[:8], "little", signed=True)
 
 
 def _keys(window: int):
@@ -133,10 +148,18 @@ def _keys(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]):
         keys, ids, held = [], [], 0
-        for id, text in rows(batches):
-            k = np.unique(minimizer_runs(word_hashes(words(text)), window)[0])
+        seen: set[int] = set()
+        for (text,) in rows(batches):
+            parts = words(text)
+            doc = _doc(b" ".join(parts))
+            if doc in seen:
+                continue
+            if len(seen) >= 1_000_000:
+                seen.clear()
+            seen.add(doc)
+            k = np.unique(minimizer_runs(word_hashes(parts), window)[0])
             keys.append(k)
-            ids.append(np.full(len(k), id, np.int64))
+            ids.append(np.full(len(k), doc, np.int64))
             held += len(k)
             if held >= 1_500_000:
                 yield _key_rows(keys, ids)
@@ -163,7 +186,7 @@ def _key_rows(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
         {
             "route": np.concatenate([route, key[tells]]),
             "key": np.concatenate([key, key[tells]]),
-            "id": np.concatenate([id, id[tells]]),
+            "doc": np.concatenate([id, id[tells]]),
             "known": np.concatenate([known, np.zeros(int(tells.sum()), bool)]),
         }
     )
@@ -173,7 +196,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of keys that at least two documents hold; one more row for a hot key."""
     rest = None
     for batch in batches:
-        key, id = (batch.column(k).to_numpy() for k in ("key", "id"))
+        key, id = (batch.column(k).to_numpy() for k in ("key", "doc"))
         known = batch.column("known").to_numpy(zero_copy_only=False)
         if known.any():
             yield _shared_rows(key[known], id[known])
@@ -209,7 +232,7 @@ def _shared_rows(key, id, hot=(), count=()) -> pa.RecordBatch:
     return pa.record_batch(
         {
             "key": pa.array(np.append(key, np.asarray(hot, np.int64)), pa.int64()),
-            "id": pa.array([*id.tolist(), *none], pa.int64()),
+            "doc": pa.array([*id.tolist(), *none], pa.int64()),
             "rows": pa.array([*[None] * len(key), *map(int, count)], pa.int64()),
         }
     )
@@ -218,12 +241,25 @@ def _shared_rows(key, id, hot=(), count=()) -> pa.RecordBatch:
 def _hot(keyed: DataFrame) -> bytes:
     """Slots that hold a hot key; their number does not depend on the data."""
     slot = F.expr(f"key & {(1 << _HOT_BITS) - 1}").cast("int")
-    slots = keyed.where("id is null").select(slot.alias("slot")).distinct().toArrow()
+    slots = keyed.where("doc is null").select(slot.alias("slot")).distinct().toArrow()
     out = np.zeros(1 << _HOT_BITS, np.uint8)
     out[slots["slot"].to_numpy()] = 1
     return out.tobytes()
 
 
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = []
+    for id, text, mark in rows(batches):
+        parts = words(text)
+        body = b" ".join(parts)
+        out.append((id, mark, len(parts), hashlib.sha256(body).hexdigest(), _doc(body)))
+        if len(out) >= 4096:
+            yield _columns(out, _PRINTS)
+            out = []
+    if out:
+        yield _columns(out, _PRINTS)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
     out = []
@@ -238,6 +274,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _columns(out, _PACKED)
 
 
+_PRINTS = pa.schema(
+    [
+        ("id", pa.int64()),
+        ("hash", pa.int64()),
+        ("n_words", pa.int64()),
+        ("sha", pa.string()),
+        ("doc", pa.int64()),
+    ]
+)
 _PACKED = pa.schema(
     [
         ("id", pa.int64()),
