@@ -7,8 +7,8 @@ its short lists with a heap that skips (DivideSkip, which probes the longest of
 by bisection); the shingles left out, which are those with long lists, are probed by
 bisection in the sorted set of each document found.
 
-Documents with equal sets are one node.  Nodes are first tied to the smallest node they
-meet in a list, if the two are really linked; the search is then run between different
+Documents with equal sets are one node.  Nodes are first tied to the smallest and
+the largest node they meet in their lists, if they are really linked; the search is then run between different
 components only, so a large group of near copies costs links, not pairs.
 """
 
@@ -39,11 +39,13 @@ from areacast.sources.shared import settle
 
 #: Slots of the table that tells how frequent a shingle is.  It decides the order of
 #: shingles only, never a result, and its size does not depend on the data.
-ORDER_BITS = 20
+ORDER_BITS = 22
 #: A shingle counts as frequent from so many documents of one task.
-FREQUENT = 4
+FREQUENT = 2
 #: Documents in one part of an inverted list, as a power of two.
 PART_BITS = 11
+#: Nodes of one component in a list from which they are a list of their own.
+LARGE = 64
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
@@ -67,7 +69,7 @@ def required(n: int, percent: int) -> int:
 
 def extension(n: int) -> int:
     """Shared rare shingles asked of a pair; grows with the size."""
-    return 1 + n // 64
+    return 1 + n // 32
 
 
 def rare_count(n: int, percent: int) -> int:
@@ -193,13 +195,17 @@ def _scan(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]):
         sets, held, out = [], 0, ([], [], [])
+        seen: set[bytes] = set()
         for id, text in rows(batches):
             s = shingle_set(text, size)
+            key = set_key(s) if len(s) else None
             out[0].append(id)
             out[1].append(len(s))
-            out[2].append(set_key(s) if len(s) else None)
-            sets.append(s)
-            held += len(s)
+            out[2].append(key)
+            if key and key not in seen:
+                seen.add(key)
+                sets.append(s)
+                held += len(s)
             if len(out[0]) >= 4096:
                 n = len(out[0])
                 yield _scan_rows(*out, [None] * n, [None] * n, [True] * n)
@@ -207,6 +213,7 @@ def _scan(size: int):
             if held >= 3_000_000:
                 yield frequent(sets)
                 sets, held = [], 0
+                seen.clear()
         if out[0]:
             n = len(out[0])
             yield _scan_rows(*out, [None] * n, [None] * n, [True] * n)
@@ -327,16 +334,20 @@ def _list_rows(columns: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _pivots(lists: DataFrame) -> DataFrame:
-    """Each node with the smallest node it meets most often in its lists."""
-    pivot = lists.groupBy("shingle").agg(F.min(F.col("nodes")[0]).alias("b"))
+    """Each node with the smallest and the largest node it meets most often in its lists."""
+    ends = lists.groupBy("shingle").agg(
+        F.min(F.element_at("nodes", 1)).alias("low"), F.max(F.element_at("nodes", -1)).alias("high")
+    )
+    met = lists.join(ends, "shingle").select(F.explode("nodes").alias("a"), "low", "high")
     return (
-        lists.join(pivot, "shingle")
-        .select(F.explode("nodes").alias("a"), "b")
+        met.select("a", F.posexplode(F.array("low", "high")).alias("end", "b"))
         .where("a != b")
-        .groupBy("a", "b")
+        .groupBy("a", "end", "b")
         .count()
-        .groupBy("a")
+        .groupBy("a", "end")
         .agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+        .select("a", "b")
+        .distinct()
     )
 
 
@@ -412,16 +423,30 @@ def _search(lists: DataFrame, first: DataFrame, sizes: DataFrame, percent: int)
         .select("shingle")
     )
     held = settle(held.join(mixed, "shingle"), "mixed")
-    others = held.groupBy("shingle", "part", F.col("label").alias("other")).agg(
-        F.sort_array(F.collect_list("node")).alias("nodes")
-    )
-    asked = (
-        held.select("shingle", "node", "n", "label")
-        .join(others.drop("part"), "shingle")
-        .where(F.col("other") > F.col("label"))
+    lists = held.groupBy("shingle", "part", "label").agg(F.collect_list("node").alias("nodes"))
+    large = F.size("nodes") >= LARGE
+    names = F.transform("nodes", lambda _: F.col("label"))
+    apart = lists.where(large).select("shingle", F.col("label").alias("other"), "nodes")
+    together = (
+        lists.where(~large)
+        .groupBy("shingle", "part")
+        .agg(
+            F.flatten(F.collect_list("nodes")).alias("nodes"),
+            F.flatten(F.collect_list(names)).alias("others"),
+        )
+        .drop("part")
     )
+    asked = held.select("shingle", "node", "n", "label")
+    columns = ("node", "n", "shingle", "label", "nodes", "others")
     return (
-        asked.select("node", "n", "shingle", "nodes")
+        asked.join(together, "shingle")
+        .select(*columns)
+        .unionByName(
+            asked.join(apart, "shingle")
+            .where("other > label")
+            .withColumn("others", F.lit(None).cast("array<long>"))
+            .select(*columns)
+        )
         .repartition("node")
         .sortWithinPartitions("node", "shingle")
         .mapInArrow(_merge(percent), "a long, b long")
@@ -433,7 +458,11 @@ def _merge(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]):
         node, lists, last, least = None, [], None, 1
-        for q, n, shingle, found in rows(batches):
+        for q, n, shingle, label, nodes, others in rows(batches):
+            if others is None:
+                found = sorted(nodes)
+            else:
+                found = sorted(b for b, o in zip(nodes, others, strict=True) if o > label)
             if q != node:
                 if node is not None:
                     yield _pairs(node, divide_skip(lists, least))
