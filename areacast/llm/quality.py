@@ -40,10 +40,6 @@ RULES = (
 )
 
 
-def _removed(text: Column, characters: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
-
-
 def _metrics() -> dict[str, Column]:
     n_words, n_lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     return {
@@ -76,30 +72,36 @@ def quality_rules(
         F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     w, lines = F.col("w"), F.col("lines")
-    last = F.size(w) - WINDOW
+    codes = F.col("codes")
+    last = F.size(codes) - WINDOW
     windows = F.when(
         last >= 0,
         F.transform(
             F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: F.struct(F.xxhash64(F.slice(w, i + 1, WINDOW)).alias("h"), i.alias("i")),
+            lambda i: F.xxhash64(*(F.get(codes, i + k) for k in range(WINDOW))),
         ),
     )
-    stop = F.array(*(F.lit(x) for x in sorted(set(STOP_WORDS))))
+    stop = sorted(set(STOP_WORDS))
     counted = parts.select(
         "id",
         F.size(w).cast("long").alias("n_words"),
-        F.char_length(F.translate(t, "\x20\x09\x0a\x0b\x0c\x0d", "")).cast("long").alias("word_chars"),
-        _removed(t, SYMBOLS).cast("long").alias("n_symbols"),
-        _removed(t, "!").cast("long").alias("n_exclaim"),
+        F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.regexp_count(t, F.lit("!")).cast("long").alias("n_exclaim"),
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
         F.size(
-            F.filter(w, lambda x: F.array_contains(stop, F.lower(F.rtrim(x, F.lit(".,;:!?")))))
+            F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(stop))
         ).cast("long").alias("n_stop_words"),
-        F.sort_array(windows).alias("s"),
-    )
-    s, p = F.col("s"), F.col("p")
+        F.transform(w, lambda x: F.xxhash64(x)).alias("codes"),
+    ).withColumn("h", windows).drop("codes")
+    # Places are sorted by window only where a window stands twice.
+    h, s, p = F.col("h"), F.col("s"), F.col("p")
+    by_window = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    counted = counted.withColumn(
+        "s", F.when(F.size(F.array_distinct(h)) < F.size(h), by_window)
+    ).drop("h")
     twice = F.filter(
         F.transform(
             s,
