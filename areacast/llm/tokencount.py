@@ -12,6 +12,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
+from math import inf
 
 import pyarrow as pa
 import regex
@@ -41,6 +42,10 @@ class PrefixCounter(dict):
             tuple(m.split(" ") if isinstance(m, str) else m): i
             for i, m in enumerate(model["merges"])
         }
+        self.made: dict[str, tuple[int, str, str]] = {}
+        for (x, y), i in self.order.items():
+            self.made.setdefault(x + y, (i, x, y))
+        self.edges: dict[tuple[str, int], list[tuple[str, float]] | None] = {}
         self.letters = {b: c for c, b in byte_letters().items()}
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = frozenset(special)
@@ -59,30 +64,44 @@ class PrefixCounter(dict):
         if known is None:
             if len(self.paired) >= 1_000_000:
                 self.paired.clear()
-            known = self.paired[a, b] = self._merged(a, b) == [a, b]
+            known = self.paired[a, b] = self._apart(a, b)
         return known
 
-    def _merged(self, a: str, b: str) -> list[str]:
-        end = self.ends if self.ends and b.endswith(self.ends) else ""
-        parts = list(a) + list(b[: len(b) - len(end)] if end else b)
-        parts[-1] += end
-        while len(parts) > 1:
-            best = min(
-                zip(parts, parts[1:], strict=False),
-                key=lambda p: self.order.get(p, len(self.order)),
-            )
-            if best not in self.order:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+    def _edge(self, token: str, side: int) -> list[tuple[str, float]] | None:
+        """Pieces at the first (0) or last (1) place of a token while it is built up.
+
+        Each with the rank of the merge that ends it; None if merges do not build it.
+        """
+        key = (token, side)
+        if key not in self.edges:
+            pieces, rank = [(token, inf)], inf
+            while (made := self.made.get(token)) and made[0] < rank:
+                rank, token = made[0], made[1 + side]
+                pieces.append((token, rank))
+            unit = token[: len(token) - len(self.ends)] if token.endswith(self.ends) else token
+            self.edges[key] = pieces[::-1] if len(unit or token) == 1 else None
+        return self.edges[key]
+
+    def _apart(self, a: str, b: str) -> bool:
+        """Whether no merge over the border comes before those that build ``a`` and ``b``.
+
+        Of equal merges the leftmost goes first.
+        """
+        left, right = self._edge(a, 1), self._edge(b, 0)
+        if left is None or right is None:
+            return False
+        p = q = 0
+        while True:
+            (x, x_ends), (y, y_ends) = left[p], right[q]
+            rank = self.order.get((x, y), inf)
+            if rank < x_ends and rank <= y_ends:
+                return False
+            if x_ends == y_ends == inf:
+                return True
+            if x_ends <= y_ends:
+                p += 1
+            else:
+                q += 1
 
     def word_prefixes(self, word: str, last_only: bool = False) -> list[int]:
         """Tokens of each prefix of ``word`` as a word of its own, by bytes."""
