@@ -7,9 +7,12 @@ its short lists with a heap that skips (DivideSkip, which probes the longest of
 by bisection); the shingles left out, which are those with long lists, are probed by
 bisection in the sorted set of each document found.
 
-Documents with equal sets are one node.  Nodes are first tied to the smallest and
-the largest node they meet in their lists, if they are really linked; the search is then run between different
-components only, so a large group of near copies costs links, not pairs.
+Documents with equal sets are one node.  Nodes are first tied to the hub of their
+lists (the node with the longest lists, which in a group of near copies is the text
+nearest to all) and to the smallest node they meet, if they are really linked; the
+search is then run between different components only, so a large group of near copies
+costs links, not pairs.  What a pair must share follows from both sizes: sets of equal
+size may differ in a seventh of their shingles only.
 """
 
 from __future__ import annotations
@@ -76,8 +79,27 @@ def rare_count(n: int, percent: int) -> int:
     return min(n, n - required(n, percent) + extension(n))
 
 
+def shared(n: int, m: int, percent: int) -> int:
+    """Least number of rare shingles that linked sets of ``n`` and ``m`` have in common.
+
+    They share ``both`` shingles at least, so all but ``n - both`` of the rare ones of
+    one set are in the other, and these are the rarest of what the sets share.
+    """
+    both = -(-percent * (n + m) // (100 + percent))
+    return both - max(n - rare_count(n, percent), m - rare_count(m, percent))
+
+
+def fits(n: int, m: int, percent: int) -> bool:
+    return 100 * min(n, m) >= percent * max(n, m)
+
+
 def divide_skip(lists: list[list[int]], least: int) -> list[int]:
-    """Ids in at least ``least`` of the sorted ``lists``.
+    """Ids in at least ``least`` of the sorted ``lists``."""
+    return [id for id, _ in occurrences(lists, least)]
+
+
+def occurrences(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """Ids in at least ``least`` of the sorted ``lists``, and in how many.
 
     The longest lists are set aside, ``least - 1`` at most; the others are merged
     with a heap that skips ids which cannot reach the rest of the threshold, and the
@@ -108,7 +130,7 @@ def divide_skip(lists: list[list[int]], least: int) -> list[int]:
                 at = bisect_left(x, top)
                 count += at < len(x) and x[at] == top
             if count >= least:
-                found.append(top)
+                found.append((top, count))
         for _, i, at in taken:
             at = bisect_left(short[i], target, at)
             if at < len(short[i]):
@@ -334,13 +356,17 @@ def _list_rows(columns: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _pivots(lists: DataFrame) -> DataFrame:
-    """Each node with the smallest and the largest node it meets most often in its lists."""
-    ends = lists.groupBy("shingle").agg(
-        F.min(F.element_at("nodes", 1)).alias("low"), F.max(F.element_at("nodes", -1)).alias("high")
+    """Each node with the hub and the smallest node that it meets most often in its lists."""
+    held = lists.select("shingle", F.explode("nodes").alias("a"), F.size("nodes").alias("held"))
+    weights = held.groupBy("a").agg(F.sum("held").alias("weight"))
+    ends = (
+        held.join(weights, "a")
+        .groupBy("shingle")
+        .agg(F.min("a").alias("low"), F.max_by("a", F.struct("weight", "a")).alias("hub"))
     )
-    met = lists.join(ends, "shingle").select(F.explode("nodes").alias("a"), "low", "high")
     return (
-        met.select("a", F.posexplode(F.array("low", "high")).alias("end", "b"))
+        held.join(ends, "shingle")
+        .select("a", F.posexplode(F.array("low", "hub")).alias("end", "b"))
         .where("a != b")
         .groupBy("a", "end", "b")
         .count()
@@ -423,21 +449,24 @@ def _search(lists: DataFrame, first: DataFrame, sizes: DataFrame, percent: int)
         .select("shingle")
     )
     held = settle(held.join(mixed, "shingle"), "mixed")
-    lists = held.groupBy("shingle", "part", "label").agg(F.collect_list("node").alias("nodes"))
+    lists = held.groupBy("shingle", "part", "label").agg(
+        F.collect_list("node").alias("nodes"), F.collect_list("n").alias("sizes")
+    )
     large = F.size("nodes") >= LARGE
     names = F.transform("nodes", lambda _: F.col("label"))
-    apart = lists.where(large).select("shingle", F.col("label").alias("other"), "nodes")
+    apart = lists.where(large).select("shingle", F.col("label").alias("other"), "nodes", "sizes")
     together = (
         lists.where(~large)
         .groupBy("shingle", "part")
         .agg(
             F.flatten(F.collect_list("nodes")).alias("nodes"),
+            F.flatten(F.collect_list("sizes")).alias("sizes"),
             F.flatten(F.collect_list(names)).alias("others"),
         )
         .drop("part")
     )
     asked = held.select("shingle", "node", "n", "label")
-    columns = ("node", "n", "shingle", "label", "nodes", "others")
+    columns = ("node", "n", "shingle", "label", "nodes", "sizes", "others")
     return (
         asked.join(together, "shingle")
         .select(*columns)
@@ -456,25 +485,31 @@ def _search(lists: DataFrame, first: DataFrame, sizes: DataFrame, percent: int)
 def _merge(percent: int):
     """The search itself: one query's lists stand together, in the order of queries."""
 
+    def answer(node: int, n: int, lists: list[list[int]], size_of: dict[int, int]):
+        need = {m: shared(n, m, percent) for m in set(size_of.values())}
+        found = occurrences(lists, min(need.values(), default=1))
+        return _pairs(node, [b for b, count in found if count >= need[size_of[b]]])
+
     def run(batches: Iterator[pa.RecordBatch]):
-        node, lists, last, least = None, [], None, 1
-        for q, n, shingle, label, nodes, others in rows(batches):
-            if others is None:
-                found = sorted(nodes)
-            else:
-                found = sorted(b for b, o in zip(nodes, others, strict=True) if o > label)
+        node, of, lists, last, size_of = None, 0, [], None, {}
+        for q, n, shingle, label, nodes, sizes, others in rows(batches):
             if q != node:
                 if node is not None:
-                    yield _pairs(node, divide_skip(lists, least))
-                node, lists, last = q, [], None
-                least = extension(required(n, percent))
+                    yield answer(node, of, lists, size_of)
+                node, of, lists, last, size_of = q, n, [], None, {}
+            met = {
+                b: m
+                for i, (b, m) in enumerate(zip(nodes, sizes, strict=True))
+                if fits(n, m, percent) and (others is None or others[i] > label)
+            }
+            size_of.update(met)
             if shingle == last:
-                lists[-1] = sorted(lists[-1] + found)
+                lists[-1] = sorted(lists[-1] + list(met))
             else:
-                lists.append(found)
+                lists.append(sorted(met))
             last = shingle
         if node is not None:
-            yield _pairs(node, divide_skip(lists, least))
+            yield answer(node, of, lists, size_of)
 
     return run
 

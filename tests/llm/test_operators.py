@@ -1,6 +1,7 @@
 """Each operator against its plain definition on awkward rows, and on empty tables."""
 
 import math
+import random
 import sys
 from collections import Counter
 from pathlib import Path
@@ -58,6 +59,25 @@ def test_jaccard_of_many_near_copies(spark):
     assert got(out, "doc_id", "n_shingles", "component_id") == cases.ordered(cases.jaccard(data))
 
 
+def test_linked_sets_share_enough_rare_shingles():
+    rng, linked = random.Random(5), 0
+    for _ in range(4000):
+        n = rng.randint(1, 90)
+        a = set(rng.sample(range(120), n))
+        b = set(a)
+        for x in rng.sample(sorted(a), rng.randint(0, n // 5)):
+            b.discard(x)
+        b |= set(rng.sample(range(120, 240), rng.randint(0, n // 6 + 1)))
+        if not b or 100 * len(a & b) < 75 * len(a | b):
+            continue
+        linked += 1
+        order = dict(zip(rng.sample(range(240), 240), range(240), strict=True))
+        rare = [set(sorted(s, key=order.get)[: jaccard.rare_count(len(s), 75)]) for s in (a, b)]
+        assert jaccard.fits(len(a), len(b), 75)
+        assert len(rare[0] & rare[1]) >= jaccard.shared(len(a), len(b), 75) >= 1
+    assert linked > 1000
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(5)
     for _ in range(200):
