@@ -72,7 +72,7 @@ def required(n: int, percent: int) -> int:
 
 def extension(n: int) -> int:
     """Shared rare shingles asked of a pair; grows with the size."""
-    return 1 + n // 32
+    return 1 + n // 64
 
 
 def rare_count(n: int, percent: int) -> int:
@@ -173,18 +173,11 @@ def jaccard_components(
         .mapInArrow(_lists, "shingle long, part int, nodes array<long>"),
         "lists",
     )
-    met = lists.select(F.explode("nodes").alias("node")).distinct()
-    texts = settle(
-        docs.join(classes.join(met, "node").select("id", "node").distinct(), "id").select(
-            "node", "text"
-        ),
-        "texts",
-    )
     sizes = classes.groupBy("node").agg(F.min("n").alias("n"), F.min("id").alias("id"))
-    verified = _Verify(texts, sizes, size, percent)
-    near = settle(verified.links(_pivots(lists)), "near")
+    verified = _Verify(docs.where("id is not null"), classes, size, percent)
+    near = settle(verified.links(_pivots(lists), "tied"), "near")
     first = settle(components(near), "first")
-    rest = settle(verified.links(_search(lists, first, sizes, percent)), "rest")
+    rest = settle(verified.links(_search(lists, first, sizes, percent), "found"), "rest")
     final = components(near.unionByName(rest))
     named = sizes.join(final, "node", "left").select(
         "node", "id", F.coalesce("label", "node").alias("label")
@@ -378,27 +371,35 @@ def _pivots(lists: DataFrame) -> DataFrame:
 
 
 class _Verify:
-    def __init__(self, texts: DataFrame, sizes: DataFrame, size: int, percent: int):
-        self.texts, self.sizes, self.size, self.percent = texts, sizes, size, percent
+    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int):
+        self.docs, self.classes, self.size, self.percent = docs, classes, size, percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``a, b`` that are linked, by the whole sets of both."""
+    def links(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs ``a, b`` that are linked, by the whole sets of both.
+
+        The pairs are written first: where they turn out to be few, their texts are
+        picked in the scan of the documents and no others are shuffled.
+        """
         size, percent = self.size, self.percent
-        sized = pairs
+        sizes = self.classes.groupBy("node").agg(F.min("n").alias("n"))
         for end in "ab":
-            sized = sized.join(
-                self.sizes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end
+            pairs = pairs.join(
+                sizes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end
             )
-        fits = sized.where(
-            100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        ).select("a", "b")
+        close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+        pairs = settle(pairs.where(close).select("a", "b"), name)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = settle(
+            self.classes.join(ends, "node").select("node", "id").distinct(), f"{name}_ends"
+        )
+        texts = self.docs.join(asked, "id").select("node", "text")
         for end in "ab":
-            fits = fits.join(
-                self.texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")),
+            pairs = pairs.join(
+                texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")),
                 end,
             )
         return (
-            fits.select("a", "b", "text_a", "text_b")
+            pairs.select("a", "b", "text_a", "text_b")
             .mapInArrow(_probe(size, percent), "a long, b long")
             .distinct()
         )
