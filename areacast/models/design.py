@@ -193,3 +193,72 @@ class Design:
         corr = (m[1:, 1:] / total - np.outer(mean, mean)) / np.outer(unit, unit)
         kept = _independent(corr, [j for j in self.reading_order() if varies[j]])
         return Moments(total, mean, sd, tuple(sorted(kept)))
+
+    def independent(self, coded: DataFrame) -> tuple[int, ...]:
+        """The independent columns of ``moments`` without a matrix over the longest
+        factor's levels: sums by level, and cross-products of the other columns alone.
+        """
+        texts = [t for t in self.spec.fixed if t in self.factors]
+        longest = max(texts, key=lambda t: len(self.factors[t].levels), default=None)
+        if longest is None or len(self.factors[longest].levels) < 2:
+            return self.moments(coded).kept
+        levels, number = len(self.factors[longest].levels), self.index_column(longest)
+        numeric = [t for t in self.spec.fixed if t not in self.factors]
+        sums = [F.sum(F.col("_n") * F.col(t).cast("double")) / F.sum("_n") for t in numeric]
+        centre = dict(zip(numeric, coded.agg(*sums).first())) if numeric else {}
+        layout = Layout(
+            tuple(t for t in self.layout().terms if t[0] != number),
+            centre=tuple((t, m, 1.0) for t, m in centre.items()), group=number,
+        )
+        nothing = np.zeros((levels, 1))
+        found = accumulate(
+            coded, layout, "gaussian", np.zeros(layout.width), nothing, nothing[:, :, None]
+        )
+        m, n = found.cross, found.group_cross[:, 0, 0]
+        others = [j for j, (t, _) in enumerate(self.columns) if t != longest]
+        total, mean = m[0, 0], m[0, 1:] / m[0, 0]
+        variance = np.diag(m)[1:] / total - mean**2
+        middle = np.array([centre.get(self.columns[j][0], 0.0) for j in others])
+        varies = variance > 1e-13 * np.maximum(np.diag(m)[1:] / total + middle**2, 1e-300)
+        unit = np.where(varies, np.sqrt(np.where(varies, variance, 1.0)), 1.0)
+        corr = (m[1:, 1:] / total - np.outer(mean, mean)) / np.outer(unit, unit)
+        there = np.flatnonzero(n > 0)
+        inside = (found.group_fixed[there, 1:, 0] / n[there, None] - mean) / unit
+        within = corr - (inside * (n[there, None] / total)).T @ inside
+        place = {j: i for i, j in enumerate(others)}
+        order = [j for j in self.reading_order() if j in place and varies[place[j]]]
+        rank = {t: i for i, t in enumerate(self.spec.fixed)}
+        early = [place[j] for j in order if rank[self.columns[j][0]] < rank[longest]]
+        late = [place[j] for j in order if rank[self.columns[j][0]] > rank[longest]]
+        early = _independent(corr, early)
+        # Combinations of earlier columns that are constant within levels alias as many dummies.
+        root = np.linalg.cholesky(corr[np.ix_(early, early)])
+        white = np.linalg.solve(root, np.linalg.solve(root, within[np.ix_(early, early)]).T)
+        share, ways = np.linalg.eigh((white + white.T) / 2)
+        constant = np.linalg.solve(root.T, ways[:, share < ALIAS_TOLERANCE])
+        values = np.hstack([np.ones((len(there), 1)), inside[:, early] @ constant])
+        aliased = _pivot_rows(values, there, levels - 1)
+        start = self.columns.index((longest, self.factors[longest].levels[-1]))
+        dummies = [start + g for g in there.tolist() if g < levels - 1 and g not in aliased]
+        kept = {*early, *_independent(within, [*early, *late])}
+        return tuple(sorted([*dummies, *(others[i] for i in kept)]))
+
+
+def _pivot_rows(values: np.ndarray, levels: np.ndarray, baseline: int) -> set[int]:
+    """Levels whose rows raise the rank, the baseline read first and then from the last
+    declared level (number 0) on."""
+    place = {g: i for i, g in enumerate(levels.tolist())}
+    basis, found = np.zeros((0, values.shape[1])), set()
+    for g in [baseline, *range(baseline)]:
+        if g not in place:
+            continue
+        row = values[place[g]]
+        left = row - basis.T @ (basis @ row)
+        left = left - basis.T @ (basis @ left)
+        size = np.linalg.norm(left)
+        if size > 1e-8 * np.linalg.norm(row):
+            basis = np.vstack([basis, left / size])
+            found.add(g)
+            if len(basis) == values.shape[1]:
+                break
+    return found

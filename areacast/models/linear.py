@@ -138,10 +138,8 @@ def fit_linear_cells(cells: DataFrame, spec: ModelSpec) -> LinearFit:
         return _fit_mean(cells, spec)
     design = Design.build(cells, spec)
     wide = len(design.columns) > MAX_DENSE
-    if wide:
-        kept = tuple(range(len(design.columns)))
-    else:
-        kept = design.moments(design.coded(cells)).kept
+    coded = design.coded(cells)
+    kept = design.independent(coded) if wide else design.moments(coded).kept
     if not kept:
         return _fit_mean(cells, spec, design)
     data = design.vectors(cells)

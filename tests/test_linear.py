@@ -177,6 +177,39 @@ def test_wide_designs_use_the_iterative_learners(sample, monkeypatch):
         assert np.abs(exact.coefs - wide.coefs).max() < 1e-4
 
 
+@pytest.mark.parametrize("family", ["binomial", "gaussian"])
+def test_wide_designs_leave_out_the_same_aliased_columns(spark, monkeypatch, family):
+    import areacast.models.linear as linear
+
+    rng = np.random.default_rng(5)
+    area = rng.integers(0, 12, 900)
+    share = np.round(rng.normal(50, 9, 12), 2)
+    y = (rng.random(900) < 1 / (1 + np.exp(0.05 * (50 - share[area])))).astype(float)
+    sex, x = rng.integers(0, 2, 900), np.round(rng.normal(size=900), 1)
+    df = spark.createDataFrame(
+        [
+            (f"a{a:02d}", f"d{a % 3}", float(share[a]), "FM"[s], float(v), float(2 * v + 1), float(o))
+            for a, s, v, o in zip(area, sex, x, y)
+        ],
+        "area string, division string, share double, sex string, x double, twice double, y double",
+    )
+    empty = {"area": ["none", *(f"a{i:02d}" for i in range(12)), "never"]}
+    for fixed, levels in [
+        (["share", "sex", "area"], {}),
+        (["sex", "area", "share", "x", "division", "twice"], {}),
+        (["division", "share", "x", "area", "twice"], {}),
+        (["share", "area", "division"], empty),
+    ]:
+        spec = ModelSpec("y", fixed, family=family, levels=levels)
+        exact = fit_linear(df, spec)
+        monkeypatch.setattr(linear, "MAX_DENSE", 1)
+        wide = fit_linear(df, spec)
+        monkeypatch.undo()
+        assert exact.aliased and wide.aliased == exact.aliased
+        assert abs(wide.intercept - exact.intercept) < 1e-3
+        assert np.abs(exact.coefs - wide.coefs).max() < 1e-3
+
+
 def test_outcome_outside_the_unit_interval_is_an_error(spark):
     df = spark.createDataFrame([("a", 2.0), ("b", 0.0)], "g string, y double")
     with pytest.raises(Exception, match="must lie in"):
