@@ -139,9 +139,11 @@ def occurrences(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
 
 
 def jaccard_components(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75
+    docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75,
+    hashed: bool = False,
 ) -> DataFrame:
-    """``id, n_shingles, component_id`` for every row of ``docs``.
+    """``id, n_shingles, component_id`` for every row of ``docs``, if ``hashed`` with
+    ``text_hash``, the xxhash64 of its text.
 
     Two rows are linked when ``100 * |A & B| >= percent * |A | B|`` for their sets of
     ``size``-word shingles (A-Z folded).  ``component_id`` is the smallest id that
@@ -152,12 +154,13 @@ def jaccard_components(
     spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     scanned = settle(
-        docs.mapInArrow(
-            _scan(size), "id long, n long, key binary, node long, shingle long, docs long, is_doc boolean"
+        (docs.withColumn("text_hash", F.xxhash64("text")) if hashed else docs).mapInArrow(
+            _scan(size),
+            "id long, n long, key binary, node long, shingle long, docs long, is_doc boolean, text_hash long",
         ),
         "sets",
     )
-    prints = scanned.where("is_doc").select("id", "n", "key", "node")
+    prints = scanned.where("is_doc").select("id", "n", "key", "node", "text_hash")
     order = spark.sparkContext.broadcast(_order(scanned.where("not is_doc")))
     classes = settle(
         prints.where("n > 0 and id is not null")
@@ -194,6 +197,7 @@ def jaccard_components(
         F.coalesce(
             F.when(F.col("id").isNotNull(), F.col("component_id")), F.col("id")
         ).alias("component_id"),
+        *(["text_hash"] if hashed else []),
     )
 
 
@@ -205,18 +209,19 @@ def _scan(size: int):
         kept = counts >= FREQUENT
         n = int(kept.sum())
         return _scan_rows(
-            [None] * n, [None] * n, [None] * n, signed(values[kept]), counts[kept], [False] * n
+            [None] * n, [None] * n, [None] * n, [None] * n, signed(values[kept]), counts[kept], [False] * n
         )
 
     def run(batches: Iterator[pa.RecordBatch]):
-        sets, held, out = [], 0, ([], [], [])
+        sets, held, out = [], 0, ([], [], [], [])
         seen: set[bytes] = set()
-        for id, text in rows(batches):
+        for id, text, *text_hash in rows(batches):
             s = shingle_set(text, size)
             key = set_key(s) if len(s) else None
             out[0].append(id)
             out[1].append(len(s))
             out[2].append(key)
+            out[3].append(text_hash[0] if text_hash else None)
             if key and key not in seen:
                 seen.add(key)
                 sets.append(s)
@@ -224,7 +229,7 @@ def _scan(size: int):
             if len(out[0]) >= 4096:
                 n = len(out[0])
                 yield _scan_rows(*out, [None] * n, [None] * n, [True] * n)
-                out = ([], [], [])
+                out = ([], [], [], [])
             if held >= 3_000_000:
                 yield frequent(sets)
                 sets, held = [], 0
@@ -238,7 +243,7 @@ def _scan(size: int):
     return run
 
 
-def _scan_rows(id, n, key, shingle, docs, is_doc) -> pa.RecordBatch:
+def _scan_rows(id, n, key, text_hash, shingle, docs, is_doc) -> pa.RecordBatch:
     return pa.record_batch(
         {
             "id": pa.array(id, pa.int64()),
@@ -248,6 +253,7 @@ def _scan_rows(id, n, key, shingle, docs, is_doc) -> pa.RecordBatch:
             "shingle": pa.array(shingle, pa.int64()),
             "docs": pa.array(docs, pa.int64()),
             "is_doc": pa.array(is_doc, pa.bool_()),
+            "text_hash": pa.array(text_hash, pa.int64()),
         }
     )
 

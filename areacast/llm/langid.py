@@ -138,10 +138,14 @@ def _ridge(languages, held, landmarks: int, ridge: float) -> LanguageModel:
 
 
 def predict_languages(
-    docs: DataFrame, model: LanguageModel | None, text: str = "text"
+    docs: DataFrame, model: LanguageModel | None, text: str = "text", raw: bool = False
 ) -> DataFrame:
     """``docs`` with ``lang_pred, lang_score`` added (or replaced) in every row.
 
+    If ``raw``, the score is the best one-versus-rest score itself (learned as 1 for the
+    text's language and -1 for others, 0 without known n-grams), whatever the number of labels.
+    Otherwise:
+
     The score is the softmax share of the best one-versus-rest score.  A text that is
     missing or has no letter is ``und`` with score 0, and so is every text if there
     is no model; among equal scores the first label wins.  Each row stands for
@@ -163,12 +167,12 @@ def predict_languages(
                     t if h and m else None
                     for t, h in zip(columns[at].to_pylist(), has_letter.to_pylist(), strict=True)
                 ]
-                yield pa.RecordBatch.from_arrays([*columns, *_predicted(m, usable)], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, *_predicted(m, usable, raw)], names=names)
 
     return docs.withColumn("lang_has_letter", letters).mapInArrow(run, schema)
 
 
-def _predicted(m: LanguageModel | None, texts: list[str | None]) -> list[pa.Array]:
+def _predicted(m: LanguageModel | None, texts: list[str | None], raw: bool = False) -> list[pa.Array]:
     some = [i for i, t in enumerate(texts) if t is not None]
     lang, score = ["und"] * len(texts), np.zeros(len(texts))
     if some:
@@ -177,4 +181,7 @@ def _predicted(m: LanguageModel | None, texts: list[str | None]) -> list[pa.Arra
         score[some] = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
         for i, b in zip(some, best.tolist(), strict=True):
             lang[i] = m.languages[b]
-    return [pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())]
+        if raw:
+            score[some] = s.max(axis=1) / 2
+    score = score if raw else np.clip(score, 0, 1)
+    return [pa.array(lang, pa.string()), pa.array(score, pa.float64())]

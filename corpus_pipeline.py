@@ -18,13 +18,19 @@ from areacast.llm.packing import pack_documents
 from areacast.llm.substring import remove_repeats
 from areacast.sources.shared import settle
 
-#: Below this share of the best language a text is taken to be in none of them.
-LEAST_LANGUAGE_SCORE = 0.3
+#: Below this raw score of the best language (ideally 1) a text is taken to be in none.
+LEAST_LANGUAGE_SCORE = 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those that resemble no learned language."""
-    rated = predict_languages(docs, fit_languages(docs))
+    """Drops texts without letters and those that resemble no learned language.
+
+    Without any labelled row there is nothing to judge by, so all rows pass.
+    """
+    model = fit_languages(docs)
+    if model is None:
+        return docs
+    rated = predict_languages(docs, model, raw=True)
     kept = (F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
     return rated.where(kept).select(docs.columns)
 
@@ -34,12 +40,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows repeated with id and text count as one; rows without id are all kept.
     """
-    groups = jaccard_components(docs)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    groups = jaccard_components(docs, hashed=True)
+    dropped = groups.where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
     order = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
     rank = F.when(F.col("doc_id").isNotNull(), F.row_number().over(order)).otherwise(1)
     return (
-        docs.join(dropped, "doc_id", "left_anti")
+        docs.withColumn("text_hash", F.xxhash64("text"))
+        .join(dropped, ["doc_id", "text_hash"], "left_anti")
         .withColumn("copy", rank)
         .where("copy = 1")
         .select(docs.columns)

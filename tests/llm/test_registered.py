@@ -65,6 +65,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in kept[4]} == set(repeats)
 
 
+def test_pipeline_rejects_by_the_raw_language_score(spark):
+    en = "the river walks under a green house in the morning {}"
+    de = "der fluss geht unter dem haus und ist am morgen {}"
+    data = [(i, (en if i % 2 else de).format("abc"[i % 3] * (i % 5 + 1)), ["de", "en"][i % 2]) for i in range(60)]
+    data += [(100, "привет мир как дела сегодня вечером", None), (101, "the house under the river", None), (102, "123", None)]
+    docs = spark.createDataFrame([(*r, "s", len(r[1])) for r in data], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, FOLDER).collect()}
+    assert kept == {*range(60), 101}
+    unlabelled = docs.where("lang is null")
+    assert corpus_pipeline.language_id(spark, unlabelled, FOLDER).count() == 3
+
+
+def test_pipeline_drops_near_copies_by_their_own_text(spark):
+    words = [f"w{i}" for i in range(80)]
+    near, own = " ".join([*words, "x"]), " ".join(f"v{i}" for i in range(50))
+    data = [(1, " ".join(words)), (2, near), (2, own), (2, own), (3, own + " y")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in data], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()]
+    assert sorted(kept) == [(1, " ".join(words)), (2, own)]
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     docs = cases.frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
