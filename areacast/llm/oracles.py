@@ -174,10 +174,52 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE r <= 10
 """
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(
+    text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), sized AS (
+  SELECT lang, w, unnest([1, 2, 3]) AS k FROM words WHERE len(w) > 0
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized WHERE len(w) >= k)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY 1, 2, 3
+), n AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1
+), cand AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10
+), longer AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+    FROM cand WHERE k = 3) GROUP BY 1, 2
+), cuts AS (
+  SELECT lang, k, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:k], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)
+), scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.j, p.a AS l, q.a AS r,
+    ((1000000::HUGEINT * c.a * c.a) // (p.a::HUGEINT * q.a))::BIGINT AS score
+  FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = c.x JOIN f q ON q.lang = c.lang AND q.phrase = c.y
+), best AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM scored)
+  WHERE place = 1
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN longer g ON b.k = 2 AND g.lang = b.lang AND g.phrase = b.phrase
+  WHERE g.longer IS NULL OR 100 * g.longer < 50 * b.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": JACCARD,
     "op4_threshold_rules": QUALITY,
     "op5_substring_dedup": SUBSTRING,
     "op6_source_mix": MIX,
     "op8_block_top_k": TOP_K,
+    "op13_phrase_collocations": COLLOCATIONS,
 }

@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from areacast.llm.alignment import align_tokenizers
 from areacast.llm.jaccard import jaccard_components
 from areacast.llm.langid import fit_languages, predict_languages
 from areacast.llm.lm import score_texts
 from areacast.llm.mixing import mix_sources
 from areacast.llm.packing import pack_documents
+from areacast.llm.phrases import collocations
 from areacast.llm.quality import quality_rules
+from areacast.llm.secretscan import scan_secrets, span_text
 from areacast.llm.sharding import shard_documents
 from areacast.llm.substring import remove_repeats
 from areacast.llm.tokencount import token_counts
@@ -113,6 +116,30 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def zstd_novelty(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_secrets(_documents(spark, folder)).select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(span_text("base"), 256).alias("base_sha256"),
+        span_text("spans").alias("spans"),
+    )
+
+
+def tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    documents, _ = align_tokenizers(
+        _documents(spark, folder),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return documents
+
+
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(_documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_jaccard,
     "op2_language_id": language_id,
@@ -124,4 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_block_top_k": block_top_k,
     "op9_balanced_shards": balanced_shards,
     "op10_best_fit_packing": best_fit_packing,
+    "op11_zstd_novelty": zstd_novelty,
+    "op12_tokenizer_alignment": tokenizer_alignment,
+    "op13_phrase_collocations": phrase_collocations,
 }
