@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from areacast.functions.stats import fold_of
 from areacast.models.design import factor_levels
-from areacast.models.forest import fit_forest_cells
+from areacast.models.forest import fit_forest_cells, fit_forests
 from areacast.models.linear import fit_linear_cells
 from areacast.models.spec import ModelSpec, collapse, is_factor
 from areacast.operators.joins import as_list
@@ -29,8 +29,21 @@ class Fitted(Protocol):
 Learner = Callable[[DataFrame, ModelSpec], Fitted]
 
 
+@dataclass(frozen=True)
+class ForestLearner:
+    """Forests of all folds are grown together."""
+
+    options: Mapping
+
+    def __call__(self, cells: DataFrame, spec: ModelSpec) -> Fitted:
+        return fit_forest_cells(cells, spec, **self.options)
+
+    def fit_sets(self, cells: DataFrame, spec: ModelSpec, names: Sequence) -> dict[object, Fitted]:
+        return fit_forests(cells, spec, names, **self.options)
+
+
 def forest_learner(**kwargs) -> Learner:
-    return lambda cells, spec: fit_forest_cells(cells, spec, **kwargs)
+    return ForestLearner(kwargs)
 
 
 def linear_learner() -> Learner:
@@ -99,47 +112,82 @@ def fit_stack(
     if (id is None) == (fold is None):
         raise ValueError("give either the respondent id or a fold column")
     number = F.col(fold) if fold else fold_of(as_list(id), folds, seed)
-    tagged = df.withColumn("_fold", number)
-    by_fold = settle(collapse(tagged, spec, extra=["_fold"]), "fold_cells")
+    by_fold = collapse(df.withColumn("_fold", number), spec, extra=["_fold"])
     return fit_stack_cells(by_fold, spec, learners, folds, parallelism)
 
 
+SUMS = ("_n", "_s", "_q")
+# A share of a cell's weight that is left when a fold is taken out is rounding below this.
+ROUNDING = 1e-9
+
+
+def fold_table(by_fold: DataFrame, keys: Sequence[str], folds: int, fold: str = "_fold") -> DataFrame:
+    """One row a cell: its sums, and arrays of them by fold."""
+
+    def of(c, k):
+        return F.coalesce(F.sum(F.when(F.col(fold) == k, F.col(c))), F.lit(0.0))
+
+    return by_fold.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in SUMS],
+        *[F.array(*[of(c, k) for k in range(folds)]).alias(f"{c}_by_fold") for c in SUMS],
+    )
+
+
 def fit_stack_cells(
     by_fold: DataFrame, spec: ModelSpec, learners: Mapping[str, Learner], folds: int,
     parallelism: int = 4, fold: str = "_fold",
 ) -> StackedFit:
-    """The same from cells that carry a fold number."""
+    """The same from cells that carry a fold number.
+
+    One table is written, of cells with their sums by fold.  What a fold is trained on
+    are the sums of the whole minus its own, so no fold needs a table or a shuffle.
+    """
     names = list(learners)
     keys = spec.columns
-
-    def merged(cells):
-        return cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_n", "_s", "_q")])
-
-    everything = settle(merged(by_fold), "cells")
+    table = settle(fold_table(by_fold, keys, folds, fold), "fold_cells")
+    everything = table.select(*keys, *SUMS)
     # Declare all levels, so that one missing from a training fold can be scored.
     texts = [c for c in spec.fixed if is_factor(everything.schema, c, spec)]
     levels = {c: f.levels for c, f in factor_levels(everything, texts, spec).items()}
     spec = spec.but(levels=levels)
 
-    jobs = [(k, name) for k in [None, *range(folds)] for name in names]
+    def left(c, k):
+        rest = F.col(c) - F.col(f"{c}_by_fold")[k]
+        return F.when(F.col("_n") - F.col("_n_by_fold")[k] > ROUNDING * F.col("_n"), rest).otherwise(0.0)
+
+    def training(k):
+        if k is None:
+            return everything
+        return table.select(*keys, *[left(c, k).alias(c) for c in SUMS]).filter(F.col("_n") > 0)
+
+    sets = [None, *range(folds)]
+    together = [name for name in names if hasattr(learners[name], "fit_sets")]
+    jobs = [(k, name) for k in sets for name in names if name not in together]
     # Independent fits are submitted side by side, as in Spark's own cross-validator.
     with ThreadPoolExecutor(parallelism) as pool:
         inherit = inheritable_thread_target(by_fold.sparkSession)
 
-        def training(k):
-            return settle(merged(by_fold.filter(F.col(fold) != k)), "cells")
-
-        cells = dict(zip(range(folds), pool.map(inherit(training), range(folds))))
-        cells[None] = everything
+        def run_sets(name):
+            all_sets = table.select(
+                *keys, "_n",
+                *[
+                    F.array(*[F.col(c) if k is None else left(c, k) for k in sets]).alias(f"{c}f")
+                    for c in ("_n", "_s")
+                ],
+            )
+            return learners[name].fit_sets(all_sets, spec, sets)
 
         def run(job):
             k, name = job
-            return learners[name](cells[k], spec)
+            return learners[name](training(k), spec)
 
+        grouped = {name: pool.submit(inherit(run_sets), name) for name in together}
         fitted = dict(zip(jobs, pool.map(inherit(run), jobs)))
+        for name, future in grouped.items():
+            fitted |= {(k, name): fit for k, fit in future.result().items()}
 
     def held_out(k):
-        part = by_fold.filter(F.col(fold) == k)
+        part = table.select(*keys, *[F.col(f"{c}_by_fold")[k].alias(c) for c in SUMS]).filter(F.col("_n") > 0)
         for i, name in enumerate(names):
             part = fitted[(k, name)].score(part, f"_z{i}")
         return part.select("_n", "_s", "_q", *[f"_z{i}" for i in range(len(names))])

@@ -387,6 +387,27 @@ ORACLES: dict[str, str] = {
         v AS (SELECT *, CASE WHEN u1 < 0 THEN 0 WHEN u2 < 0 THEN 1 ELSE u1 / (u1 + u2) END AS w1 FROM w)
         SELECT 'overall' AS learner, round(w1, 6) AS weight, round((q - 2 * e + a) / nn, 6) AS cv_risk FROM v
         UNION ALL SELECT 'by_priority', round(1 - w1, 6), round((q - 2 * f + c) / nn, 6) FROM v""",
+    "tree_one_factor": f"""{WITH} SELECT segment, count(*) AS n,
+        round(avg(y), 6) AS predicted_probability FROM done GROUP BY segment""",
+    "mrp_tree_self": f"""{WITH} SELECT abb, round(avg(y), 6) AS estimate
+        FROM done WHERE covariate IS NOT NULL GROUP BY abb""",
+    "mrp_stack_trees": f"""{WITH},
+        d AS (SELECT CAST('0x' || substring(md5(CAST(caseid AS VARCHAR) || ':fold:42'), 1, 13) AS BIGINT) % 10 AS fold,
+                     priority, segment, sum(y) AS s, CAST(count(*) AS DOUBLE) AS n FROM done GROUP BY ALL),
+        o AS (SELECT *, sum(s) OVER (PARTITION BY fold, priority) AS ps, sum(n) OVER (PARTITION BY fold, priority) AS pn
+              FROM d),
+        z AS (SELECT s, n,
+                (sum(s) OVER (PARTITION BY priority) - ps) / (sum(n) OVER (PARTITION BY priority) - pn) AS z1,
+                (sum(s) OVER (PARTITION BY priority, segment) - s) /
+                (sum(n) OVER (PARTITION BY priority, segment) - n) AS z2
+              FROM o),
+        g AS (SELECT sum(n * z1 * z1) AS a, sum(n * z1 * z2) AS b, sum(n * z2 * z2) AS c,
+                     sum(s * z1) AS e, sum(s * z2) AS f FROM z),
+        w AS (SELECT *, (e * c - f * b) / (a * c - b * b) AS u1, (f * a - e * b) / (a * c - b * b) AS u2 FROM g),
+        v AS (SELECT CASE WHEN u1 < 0 THEN 0 WHEN u2 < 0 THEN 1 ELSE u1 / (u1 + u2) END AS w1 FROM w),
+        m AS (SELECT abb, avg(y) OVER (PARTITION BY priority) AS m1,
+                     avg(y) OVER (PARTITION BY priority, segment) AS m2 FROM done)
+        SELECT abb, round(avg(w1 * m1 + (1 - w1) * m2), 6) AS estimate FROM m, v GROUP BY abb""",
     "mrp_complete_pooling": f"""{_two_way('logit')},
         f AS (SELECT abb, priority, segment, count(*) AS n FROM done GROUP BY ALL)
         SELECT abb, round(sum(f.n * mu) / sum(f.n), 6) AS estimate

@@ -749,29 +749,63 @@ def lasso_coefs(spark, folder):
     return rounded(fit.coefficients(), "estimate")
 
 
+UNBAGGED = {"trees": 1, "bootstrap": False}
+
+
 @query
-def mrp_forest(spark, folder):
+def tree_one_factor(spark, folder):
+    """One tree of all respondents on one factor: the leaves are the group means."""
+    cells = tally(spark, folder, ["segment"])
+    fit = fit_forest(cells, ModelSpec("y", ["segment"], weight="n"), **UNBAGGED)
+    frame = frames.psframe(cells, [], ["segment"], "n")
+    return rounded(fit.score(frame), "predicted_probability")
+
+
+@query
+def mrp_tree_self(spark, folder):
+    """One tree of all respondents that may try every term ends at the cells."""
     cells = tally(spark, folder, attributes=BOTH)
-    return _mrp(cells, ENSEMBLE, fit_forest, trees=100, max_depth=12)
+    return _mrp(cells, ENSEMBLE, fit_forest, tried=len(ENSEMBLE.fixed), **UNBAGGED)
+
+
+@query
+def mrp_forest(spark, folder):
+    """500 bagged trees of any depth."""
+    return _mrp(tally(spark, folder, attributes=BOTH), ENSEMBLE, fit_forest)
+
+
+def _ensemble(cells, spec, **kwargs):
+    """Forest and logistic regression, weighted by ten-fold cross-validation."""
+    learners = {"forest": forest_learner(**kwargs), "glm": linear_learner()}
+    return _mrp(cells, spec, fit_stack, learners=learners, folds=10, fold="fold")
+
+
+def _ten_folds():
+    return {"fold": stats.fold_of(["caseid"], 10, 42)}
 
 
 @query
 def mrp_stack(spark, folder):
-    """Forest and logistic regression, weighted by five-fold cross-validation."""
-    fold = {"fold": stats.fold_of(["caseid"], 5, 42)}
-    cells = tally(spark, folder, attributes=BOTH, extra=fold)
-    learners = {"forest": forest_learner(trees=30, max_depth=8), "glm": linear_learner()}
-    return _mrp(cells, ENSEMBLE, fit_stack, learners=learners, folds=5, fold="fold")
+    return _ensemble(tally(spark, folder, attributes=BOTH, extra=_ten_folds()), ENSEMBLE)
+
+
+@query
+def mrp_stack_trees(spark, folder):
+    """The ensemble of members SQL can fit: a tree of all respondents, and group means."""
+    cells = tally(spark, folder, ["priority", "segment"], extra=_ten_folds())
+    learners = {
+        "forest": forest_learner(tried=2, **UNBAGGED),
+        "glm": lambda df, spec: fit_linear_cells(df, spec.but(fixed=("priority",))),
+    }
+    spec = ModelSpec("y", ["priority", "segment"])
+    return _mrp(cells, spec, fit_stack, learners=learners, folds=10, fold="fold")
 
 
 @query
 def best_full_joint(spark, folder):
     """The ensemble on the full joint frame, order year included."""
-    fold = {"fold": stats.fold_of(["caseid"], 3, 42)}
-    cells = tally(spark, folder, ["priority", "segment", "year"], BOTH, fold)
-    learners = {"forest": forest_learner(trees=30, max_depth=8), "glm": linear_learner()}
-    spec = ENSEMBLE.but(fixed=[*ENSEMBLE.fixed, "year"])
-    return _mrp(cells, spec, fit_stack, learners=learners, folds=3, fold="fold")
+    cells = tally(spark, folder, ["priority", "segment", "year"], BOTH, _ten_folds())
+    return _ensemble(cells, ENSEMBLE.but(fixed=[*ENSEMBLE.fixed, "year"]))
 
 
 @query
