@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from areacast.models.gram import Layout, accumulate
 from areacast.models.spec import ModelSpec, is_factor
+from areacast.operators.joins import lookup_join
 
 # Levels become coefficients held by the driver, so their number must be modest.
 MAX_LEVELS = 1_000_000
 # Normal equations are solved up to this many columns.
 MAX_DENSE = 4096
 ALIAS_TOLERANCE = 1e-8
+# Up to this many levels are numbered by a model in the plan, more by a joined table.
+INLINE_CODES = 1_000
 
 
 @dataclass(frozen=True)
@@ -126,6 +129,9 @@ class Design:
     def coded(self, df: DataFrame) -> DataFrame:
         """Add a level number per factor: last level 0, baseline highest."""
         for term, factor in self.factors.items():
+            if len(factor.levels) > INLINE_CODES:
+                df = self._looked_up(df, term, factor)
+                continue
             model = StringIndexerModel.from_labels(
                 list(reversed(factor.levels)), f"_t_{term}", self.index_column(term), "error"
             )
@@ -133,6 +139,14 @@ class Design:
             df = df.drop(f"_t_{term}")
         return df
 
+    def _looked_up(self, df: DataFrame, term: str, factor: Factor) -> DataFrame:
+        key, number = f"_t_{term}", self.index_column(term)
+        rows = [(level, float(i)) for i, level in enumerate(reversed(factor.levels))]
+        table = df.sparkSession.createDataFrame(rows, f"`{key}` string, `{number}` double")
+        df = lookup_join(df.withColumn(key, F.col(term).cast("string")), table, key)
+        unseen = F.raise_error(F.concat(F.lit(f"Unseen label of {term}: "), F.coalesce(key, F.lit("null"))))
+        return df.withColumn(number, F.coalesce(number, unseen.cast("double"))).drop(key)
+
     def vectors(self, cells: DataFrame) -> DataFrame:
         """Cells with a ``features`` vector in the order of ``columns``."""
         df = self.coded(cells)

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 # Rows times columns a task works on at once.
 CHUNK_ENTRIES = 2_000_000
+# Groups whose sums travel in one row, and the doubles of group sums a task holds.
+GROUP_BLOCK = 256
+HELD_GROUP_SUMS = 8_000_000
 _LOSS = -1
 
 
@@ -133,17 +136,35 @@ def _group_sums(entries, z, j, w, r, t, width):
     return ids, np.hstack([own[:, : q * q], fixed.reshape(len(ids), -1), own[:, q * q :]])
 
 
+def _hold(held: dict[int, np.ndarray], ids: np.ndarray, sums: np.ndarray) -> None:
+    """Adds the sums of groups, in order, to those of their blocks."""
+    block = ids // GROUP_BLOCK
+    cuts = [*np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist(), len(ids)]
+    for i, j in zip(cuts, cuts[1:]):
+        b = int(block[i])
+        if b not in held:
+            held[b] = np.zeros((GROUP_BLOCK, sums.shape[1]))
+        held[b][ids[i:j] - b * GROUP_BLOCK] += sums[i:j]
+
+
 def _task(layout: Layout, family: str, beta, effects, spread):
     """Body of a task: cells in, partial sums out."""
 
     def frame(keys, values):
         return pd.DataFrame({"block": np.asarray(keys, dtype=np.int64), "sums": list(values)})
 
+    def flushed(held):
+        blocks = list(held)
+        for at in range(0, len(blocks), 64):
+            some = blocks[at : at + 64]
+            yield frame(_LOSS - 1 - np.array(some), [held.pop(b).ravel() for b in some])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         width = layout.width
         total = np.zeros((width, width + 2))
         cells = total.ravel()
         loss = 0.0
+        held: dict[int, np.ndarray] = {}
         step = max(1, CHUNK_ENTRIES // width)
         for batch in batches:
             for start in range(0, len(batch), step):
@@ -171,7 +192,10 @@ def _task(layout: Layout, family: str, beta, effects, spread):
                     np.add.at(cells, base + width + 1, left * t)
                 if layout.group and beta is not None:
                     ids, sums = _group_sums(entries, z, j, w, r, t, width)
-                    yield frame(_LOSS - 1 - ids, sums)
+                    _hold(held, ids, sums)
+                    if len(held) * GROUP_BLOCK * sums.shape[1] > HELD_GROUP_SUMS:
+                        yield from flushed(held)
+        yield from flushed(held)
         yield frame(np.arange(width), total)
         yield frame([_LOSS], [np.array([loss])])
 
@@ -208,9 +232,11 @@ def accumulate(
         elif block == _LOSS:
             out.log_likelihood = float(v[0])
         else:
-            j = _LOSS - 1 - block
-            out.group_cross[j] = v[: q * q].reshape(q, q)
-            out.group_fixed[j] = v[q * q : q * q + p * q].reshape(p, q)
-            out.group_score[j] = v[-2 * q : -q]
-            out.group_tilt[j] = v[-q:]
+            first = (_LOSS - 1 - block) * GROUP_BLOCK
+            own = slice(first, min(first + GROUP_BLOCK, groups))
+            v = v.reshape(GROUP_BLOCK, -1)[: own.stop - first]
+            out.group_cross[own] = v[:, : q * q].reshape(-1, q, q)
+            out.group_fixed[own] = v[:, q * q : q * q + p * q].reshape(-1, p, q)
+            out.group_score[own] = v[:, -2 * q : -q]
+            out.group_tilt[own] = v[:, -q:]
     return out

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from areacast.functions.stats import Z95
 from areacast.models.design import MAX_DENSE, Design
 from areacast.models.gram import accumulate
+from areacast.models.longfactor import LongFit, fit_long, longest_factor
 from areacast.models.predict import LinearPredictor
 from areacast.models.spec import ModelSpec, collapse
 from areacast.sources.shared import settle
@@ -59,6 +60,7 @@ class LinearFit:
     kept: tuple[int, ...]
     predictor: LinearPredictor
     cells: DataFrame
+    long: LongFit | None = None
 
     def score(self, frame: DataFrame, out: str = "predicted_probability", **kwargs) -> DataFrame:
         return self.predictor.score(frame, out, **kwargs)
@@ -70,6 +72,9 @@ class LinearFit:
 
     def standard_errors(self) -> np.ndarray:
         """Intercept first, then the kept columns, from one pass over the cells."""
+        if self.long is not None:
+            errors = self.long.standard_errors(self.design.coded(self.cells))
+            return errors * np.sqrt(self._residual_variance(len(self.kept) + 1))
         layout = self.design.layout().but(keep=self.kept)
         beta = np.concatenate([[self.intercept], self.coefs[list(self.kept)]])
         coded = self.design.coded(self.cells)
@@ -78,15 +83,7 @@ class LinearFit:
             covariance = np.linalg.inv(sums.cross)
         except np.linalg.LinAlgError:
             return np.full(len(beta), np.nan)
-        if self.spec.family == "gaussian":
-            # Residual variance of the respondents, not of the cell means.
-            mu = self.predictor.score(self.cells, "_mu")
-            rss, n = mu.agg(
-                F.sum(F.col("_q") - 2 * F.col("_mu") * F.col("_s") + F.col("_n") * F.col("_mu") ** 2),
-                F.sum("_n"),
-            ).first()
-            free = n - len(beta)
-            covariance = covariance * (max(rss, 0.0) / free if free > 0 else math.nan)
+        covariance = covariance * self._residual_variance(len(beta))
         variances = np.diag(covariance)
         scale = np.sqrt(np.abs(np.diag(sums.cross)))
         scaled = sums.cross / np.outer(scale, scale) if (scale > 0).all() else None
@@ -94,6 +91,18 @@ class LinearFit:
             return np.full(len(beta), np.nan)
         return np.sqrt(variances)
 
+    def _residual_variance(self, coefficients: int) -> float:
+        """Of the respondents, not of the cell means; 1 for a binomial outcome."""
+        if self.spec.family != "gaussian":
+            return 1.0
+        mu = self.predictor.score(self.cells, "_mu")
+        rss, n = mu.agg(
+            F.sum(F.col("_q") - 2 * F.col("_mu") * F.col("_s") + F.col("_n") * F.col("_mu") ** 2),
+            F.sum("_n"),
+        ).first()
+        free = n - coefficients
+        return max(rss, 0.0) / free if free > 0 else math.nan
+
     def coefficients(self, z: float = Z95) -> DataFrame:
         """Table of term, estimate, std_error, conf_low and conf_high.
 
@@ -125,13 +134,18 @@ def _row(name, estimate, error, z):
     return (name, estimate, error, estimate - z * error, estimate + z * error)
 
 
-def fit_linear(df: DataFrame, spec: ModelSpec) -> LinearFit:
+def fit_linear(df: DataFrame, spec: ModelSpec, **kwargs) -> LinearFit:
     """Fit from respondents (or weighted rows); reduces them to cells first."""
-    return fit_linear_cells(settle(collapse(df, spec), "cells"), spec)
+    return fit_linear_cells(settle(collapse(df, spec), "cells"), spec, **kwargs)
+
 
+def fit_linear_cells(cells: DataFrame, spec: ModelSpec, eliminate: bool | None = None) -> LinearFit:
+    """Fit by iteratively reweighted least squares on settled cells.
 
-def fit_linear_cells(cells: DataFrame, spec: ModelSpec) -> LinearFit:
-    """Fit by iteratively reweighted least squares on settled cells."""
+    ``eliminate`` takes the longest factor out of the matrix that is solved (see
+    ``longfactor``); the estimates are the same.  By default designs do so that would
+    have more than ``MAX_DENSE`` columns with it and not without it.
+    """
     if spec.random:
         raise ValueError("random terms need fit_multilevel")
     if not spec.fixed:
@@ -139,9 +153,21 @@ def fit_linear_cells(cells: DataFrame, spec: ModelSpec) -> LinearFit:
     design = Design.build(cells, spec)
     wide = len(design.columns) > MAX_DENSE
     coded = design.coded(cells)
-    kept = design.independent(coded) if wide else design.moments(coded).kept
+    longest = longest_factor(design)
+    long = longest is not None and len(design.factors[longest].levels) > 1
+    if eliminate is None:
+        eliminate = wide and long and len(design.columns) - len(design.factors[longest].levels) < MAX_DENSE
+    if eliminate and long:
+        # Read once a step.
+        coded = settle(coded, "coded")
+    kept = design.independent(coded) if wide or eliminate else design.moments(coded).kept
     if not kept:
         return _fit_mean(cells, spec, design)
+    if eliminate and long:
+        found = fit_long(design, coded, kept)
+        intercept, coefs = found.coefficients()
+        predictor = predictor_from(design, spec.family, intercept, coefs)
+        return LinearFit(spec, design, intercept, coefs, kept, predictor, cells, found)
     data = design.vectors(cells)
     features = "features"
     if len(kept) < len(design.columns):

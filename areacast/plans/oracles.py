@@ -296,6 +296,30 @@ ORACLES: dict[str, str] = {
         SELECT abb, round(sum(n * {P_FIXED}) / sum(n), 6) AS estimate FROM f GROUP BY abb""",
     "glm_saturated": f"""{WITH} SELECT segment, count(*) AS n,
         round(avg(y), 6) AS predicted_probability FROM done GROUP BY segment""",
+    "areas_logit_table": f"""{WITH}, m AS (
+          SELECT abb, ln(avg(y) / (1 - avg(y))) AS e, 1 / (count(*) * avg(y) * (1 - avg(y))) AS v
+          FROM done GROUP BY abb),
+        b AS (SELECT e AS e0, v AS v0 FROM m ORDER BY abb LIMIT 1),
+        t AS (SELECT '(Intercept)' AS term, e0 AS e, sqrt(v0) AS se FROM b
+              UNION ALL SELECT 'abb' || abb, e - e0, sqrt(v + v0) FROM m, b
+              WHERE abb > (SELECT min(abb) FROM m))
+        SELECT term, round(e, 6) AS estimate, round(se, 6) AS std_error,
+        round(e - 1.959963984540054 * se, 6) AS conf_low, round(e + 1.959963984540054 * se, 6) AS conf_high FROM t""",
+    "areas_linear_table": f"""{WITH}, m AS (
+          SELECT abb, avg(y) AS ym, avg(balance) AS xm, CAST(count(*) AS DOUBLE) AS n,
+                 regr_sxx(y, balance) AS sxx, regr_sxy(y, balance) AS sxy, regr_syy(y, balance) AS syy
+          FROM done GROUP BY abb),
+        s AS (SELECT sum(sxy) / sum(sxx) AS slope, sum(sxx) AS sxx,
+                     (sum(syy) - sum(sxy) * sum(sxy) / sum(sxx)) / (sum(n) - count(*) - 1) AS s2 FROM m),
+        e AS (SELECT abb, ym - slope * xm AS e, xm, n FROM m, s),
+        b AS (SELECT e AS e0, xm AS x0, n AS n0 FROM e ORDER BY abb LIMIT 1),
+        t AS (SELECT '(Intercept)' AS term, e0 AS e, sqrt(s2 * (1 / n0 + x0 * x0 / sxx)) AS se FROM b, s
+              UNION ALL SELECT 'balance', slope, sqrt(s2 / sxx) FROM s
+              UNION ALL SELECT 'abb' || abb, e - e0, sqrt(s2 * (1 / n + 1 / n0 + (xm - x0) * (xm - x0) / sxx))
+              FROM e, b, s WHERE abb > (SELECT min(abb) FROM e))
+        SELECT term, round(e, 6) AS estimate, round(se, 6) AS std_error,
+        round(e - 1.959963984540054 * se, 6) AS conf_low, round(e + 1.959963984540054 * se, 6) AS conf_high FROM t""",
+    "mrp_fixed_effects_long": AREA_MEAN,
     "mrp_null_model": OVERALL_MEAN,
     "mrp_fixed_effects_self": AREA_MEAN,
     "mrp_aliased_linear_self": f"""{WITH} SELECT abb, round(avg(y), 6) AS estimate

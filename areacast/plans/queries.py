@@ -537,6 +537,28 @@ def ols_2x(spark, folder):
     return fit.coefficients().select("term", F.round("estimate", 3).alias("estimate"))
 
 
+@query
+def areas_logit_table(spark, folder):
+    """Area effects of a logistic model with their intervals, the areas eliminated."""
+    fit = fit_linear(tally(spark, folder, []), ModelSpec("y", [AREA], weight="n"), eliminate=True)
+    return rounded(fit.coefficients(), "estimate", "std_error", "conf_low", "conf_high")
+
+
+@query
+def areas_linear_table(spark, folder):
+    """A slope within areas, area effects and their intervals, the areas eliminated."""
+    spec = ModelSpec("y", ["balance", AREA], family="gaussian")
+    fit = fit_linear(complete(spark, folder), spec, eliminate=True)
+    return rounded(fit.coefficients(), "estimate", "std_error", "conf_low", "conf_high")
+
+
+@query
+def mrp_fixed_effects_long(spark, folder):
+    """Fixed effects of areas beside other terms, the areas eliminated."""
+    spec = ModelSpec("y", ["priority", "segment", AREA])
+    return _mrp(tally(spark, folder), spec, fit_linear, eliminate=True)
+
+
 @query
 def group_ols(spark, folder):
     out = ps.group_line(complete(spark, folder), "segment", "balance", "y")
