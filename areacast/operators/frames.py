@@ -81,20 +81,20 @@ def share_of_totals(counts: DataFrame, totals: DataFrame, n: str, total: str, ou
 def marginals_long(df: DataFrame, area, variables, weight: str | None = None) -> DataFrame:
     """All marginal distributions at once: area, variable, level, n, share.
 
-    One pass over the data counts the joint cells of the variables; only those
-    cells are unpivoted.
+    Grouping sets, one per variable: every task counts (area, level) pairs of each
+    variable before it sends any, so what is shuffled is bounded by the tasks times the
+    levels, whatever the number of joint cells.
     """
     keys, variables = as_list(area), as_list(variables)
-    joint = df.groupBy(*keys, *variables).agg(_size(weight).alias("n"))
-    pairs = [
-        F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level"))
-        for v in variables
-    ]
-    cells = (
-        joint.select(*keys, "n", F.explode(F.array(*pairs)).alias("p"))
-        .groupBy(*keys, F.col("p.variable").alias("variable"), F.col("p.level").alias("level"))
-        .agg(F.sum("n").alias("n"))
+    grouped = df.groupingSets([[*keys, v] for v in variables], *keys, *variables).agg(
+        _size(weight).alias("n"), *[F.grouping(v).alias(f"_out_{v}") for v in variables]
     )
+    name, level = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for v in reversed(variables):
+        own = F.col(f"_out_{v}") == 0
+        name = F.when(own, F.lit(v)).otherwise(name)
+        level = F.when(own, F.col(v).cast("string")).otherwise(level)
+    cells = grouped.select(*keys, name.alias("variable"), level.alias("level"), "n")
     return shares(settle(cells, "marginals"), keys + ["variable"], "n", "share")
 
 
@@ -118,7 +118,7 @@ def marginal(df: DataFrame, area, variable: str, weight: str | None = None) -> D
 def marginals(df: DataFrame, area, variables, weight: str | None = None) -> dict[str, DataFrame]:
     """The marginal table of each variable, from one pass over the data."""
     kinds = {v: df.schema[v].dataType for v in as_list(variables)}
-    long = settle(marginals_long(df, area, variables, weight), "marginals")
+    long = marginals_long(df, area, variables, weight)
     return split_marginals(long, area, kinds)
 
 

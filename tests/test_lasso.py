@@ -55,3 +55,37 @@ def test_table_lists_zeros_and_constant_columns(sample):
     rows = {r["term"]: r for r in fit.coefficients().collect()}
     assert rows["one"]["estimate"] == 0.0 and rows["urbanUrban"]["estimate"] == 0.0
     assert {r["penalty"] for r in rows.values()} == {0.03}
+
+
+def test_optimality_conditions_hold_for_every_column(sample):
+    for mixture in (1.0, 0.5):
+        fit = fit_lasso(sample, SPEC, 0.01, mixture)
+        assert fit.converged and fit.violation < 1e-8
+        pdf = sample.select(*SPEC.fixed, "defund_police").toPandas()
+        levels = sorted(pdf.educ.unique())
+        names = [*[f"educ{v}" for v in levels[1:]], "genderMale", "age", "biden_vote_share"]
+        x = np.column_stack(
+            [dummies(pdf.educ, levels), dummies(pdf.gender, ["Female", "Male"]), pdf.age, pdf.biden_vote_share]
+        )
+        got = by_term(fit)
+        beta = np.array([got[t] for t in names])
+        residual = pdf.defund_police - 1 / (1 + np.exp(-(got["(Intercept)"] + x @ beta)))
+        scaled = (x - x.mean(axis=0)) / x.std(axis=0)
+        slope = -(scaled.T @ residual) / len(x) + 0.01 * (1 - mixture) * beta * x.std(axis=0)
+        assert abs(residual.mean()) < 1e-8
+        on = beta != 0
+        assert np.abs(slope + 0.01 * mixture * np.sign(beta))[on].max() < 1e-7
+        assert (np.abs(slope[~on]) <= 0.01 * mixture + 1e-7).all()
+
+
+def test_a_factor_of_a_hundred_thousand_levels(spark):
+    levels = 100_000
+    df = spark.range(levels * 3).selectExpr(
+        f"concat('a', id % {levels}) AS area",
+        f"cast(CASE WHEN id % {levels} < 5 THEN 1000 ELSE 1 END AS double) AS n",
+        f"cast(CASE WHEN id % {levels} < 5 THEN id % {levels} / 5.0 ELSE pmod(xxhash64(id), 2) END AS double) AS y",
+    )
+    fit = fit_lasso(df, ModelSpec("y", ["area"], weight="n"), 0.01)
+    assert fit.converged and fit.violation < 1e-6
+    kept = {fit.design.columns[j][1] for j in np.flatnonzero(fit.coefs)}
+    assert 0 < len(kept) < 10 and kept <= {f"a{k}" for k in range(5)}
