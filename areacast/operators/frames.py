@@ -118,7 +118,8 @@ def marginal(df: DataFrame, area, variable: str, weight: str | None = None) -> D
 def marginals(df: DataFrame, area, variables, weight: str | None = None) -> dict[str, DataFrame]:
     """The marginal table of each variable, from one pass over the data."""
     kinds = {v: df.schema[v].dataType for v in as_list(variables)}
-    long = marginals_long(df, area, variables, weight)
+    # Each variable's table is looked up on its own; a written table has a known size.
+    long = settle(marginals_long(df, area, variables, weight), "marginals")
     return split_marginals(long, area, kinds)
 
 

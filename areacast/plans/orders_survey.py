@@ -50,16 +50,34 @@ def areas(spark: SparkSession, folder: str, with_covariate: bool = False) -> Dat
     return settle(area_join(out, covariate(spark, folder), "nationkey"), "areas")
 
 
-def customers(spark: SparkSession, folder: str, with_covariate: bool = False) -> DataFrame:
-    people = source(spark, folder, "customer").select(
+def _people(spark: SparkSession, folder: str) -> DataFrame:
+    return source(spark, folder, "customer").select(
         "c_custkey",
         F.col("c_nationkey").alias("nationkey"),
         F.col("c_mktsegment").alias("segment"),
         (F.col("c_acctbal") / 1000).alias("balance"),
     )
-    return lookup_join(people, areas(spark, folder, with_covariate), "nationkey", how="inner").drop(
-        "nationkey"
+
+
+def _with_area(df: DataFrame, spark: SparkSession, folder: str, with_covariate: bool) -> DataFrame:
+    """Area, division and covariate by nation key, a lookup in each table as it is.
+
+    Tables of known size need no measuring, and nothing moves for them.
+    """
+    nation = source(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("abb"), F.col("n_regionkey").alias("regionkey")
+    )
+    region = source(spark, folder, "region").select(
+        F.col("r_regionkey").alias("regionkey"), F.col("r_name").alias("division")
     )
+    df = lookup_join(lookup_join(df, nation, "nationkey", how="inner"), region, "regionkey", how="inner")
+    if with_covariate:
+        df = lookup_join(df, covariate(spark, folder), "nationkey")
+    return df.drop("nationkey", "regionkey")
+
+
+def customers(spark: SparkSession, folder: str, with_covariate: bool = False) -> DataFrame:
+    return _with_area(_people(spark, folder), spark, folder, with_covariate)
 
 
 def respondents(
@@ -79,8 +97,8 @@ def respondents(
     )
     if answered:
         orders = orders.filter(F.col("status").isin(*OUTCOME_CODES))
-    people = customers(spark, folder, with_covariate)
-    return lookup_join(orders, people, "c_custkey", how="inner").drop("c_custkey")
+    joined = lookup_join(orders, _people(spark, folder), "c_custkey", how="inner").drop("c_custkey")
+    return _with_area(joined, spark, folder, with_covariate)
 
 
 def complete(spark: SparkSession, folder: str, with_covariate: bool = False) -> DataFrame:
