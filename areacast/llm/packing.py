@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from areacast.llm.text import rows
 from areacast.sources.shared import settle
@@ -19,6 +20,7 @@ from areacast.sources.shared import settle
 #: Pieces of one length that are numbered in one task.
 RANKED = 50_000
 _ENCODERS: dict[str, tiktoken.Encoding] = {}
+_WHOLE: dict[str, Tokenizer] = {}
 
 #: Fixed value: the way byte-level vocabularies split a text before merging.
 PATTERN = (
@@ -51,8 +53,19 @@ def encoder(path: str) -> tiktoken.Encoding:
     return _ENCODERS[path]
 
 
+def text_ids(path: str, text: str) -> list[int]:
+    """Ids of a text; special strings in it are their tokens."""
+    try:
+        return encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        # Its splitter gives up on some 700,000 blanks or line ends in a row.
+        if path not in _WHOLE:
+            _WHOLE[path] = Tokenizer.from_file(path)
+        return _WHOLE[path].encode(text, add_special_tokens=False).ids
+
+
 def token_ids(path: str, text: str | None, end: int) -> np.ndarray:
-    ids = encoder(path).encode(text, allowed_special="all") if text else []
+    ids = text_ids(path, text) if text else []
     return np.array([*ids, end], np.uint32)
 
 

@@ -312,6 +312,13 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, BYTES).count() == 0
 
 
+def test_ids_of_long_white_space_are_those_of_the_library():
+    library = Tokenizer.from_file(BYTES)
+    for text in (" " * 2_000_000, "a" + "\n" * 1_500_000 + "<|endoftext|> b"):
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert packing.token_ids(BYTES, text, 2).tolist() == [*expected, 2]
+
+
 def test_plan_is_best_fit():
     rng = np.random.default_rng(8)
     lengths = rng.integers(1, 101, 3000).tolist()
