@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from areacast.llm.text import word_count
+from areacast.llm.text import unused, word_count
+from areacast.operators.joins import lookup_join
+from areacast.sources.shared import settle
 
 #: Slices of the hash range whose sizes fix where the fractional repetition stops.
 SLICES = 4096
@@ -72,14 +74,19 @@ def mix_sources(
     placed by the sizes of ``SLICES`` slices of that order, so it is met up to the
     documents of one slice.  The missing source is a source; a missing text has size
     0; rows with equal ids are drawn together; a source without words has target 0;
-    an empty table stays empty.  Columns of ``docs`` stay as they are.
+    an empty table stays empty.  Columns of ``docs`` stay as they are, but for those
+    that have the name of an added one, which it replaces.
     """
-    place = _place(id, seed)
-    sized = docs.withColumns({"mix_size": word_count(F.col(text)), "mix_place": place})
+    added = ("mix_size", "mix_source_size", "mix_target", "mix_repeats")
+    docs = docs.drop(*added)
+    place, key = unused("mix_place", docs), unused("mix_source", docs)
+    sized = docs.withColumns({"mix_size": word_count(F.col(text)), place: _place(id, seed)})
     slices = sized.groupBy(
         F.col(source).alias("source"),
-        F.floor(F.col("mix_place") * SLICES).cast("int").alias("slice"),
+        F.floor(F.col(place) * SLICES).cast("int").alias("slice"),
     ).agg(F.sum("mix_size").alias("slice_size"))
+    # One row a source and slice, counted once for all that follows.
+    slices = settle(slices, "mix_slices")
     per_source = slices.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
     targets = source_targets(weights(per_source), max_epochs)
     times = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
@@ -108,22 +115,27 @@ def mix_sources(
             ((F.col("last")["slice"] + F.col("last")["part"]) / SLICES).alias("cut"),
         )
     )
-    known = targets.join(stop, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("mix_source"),
+    whole, cut = unused("mix_whole", docs), unused("mix_cut", docs)
+    plan = targets.join(stop, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.col("source").alias(key),
         F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"),
-        F.floor(times).cast("int").alias("mix_whole"),
-        F.coalesce("cut", F.lit(0.0)).alias("mix_cut"),
+        F.floor(times).cast("int").alias(whole),
+        F.coalesce("cut", F.lit(0.0)).alias(cut),
     )
-    repeats = F.col("mix_whole") + (F.col("mix_place") < F.col("mix_cut")).cast("int")
-    return (
-        sized.join(known, F.col(source).eqNullSafe(F.col("mix_source")))
-        .withColumn("mix_repeats", F.least(repeats, F.lit(max_epochs)))
-        .drop("mix_source", "mix_whole", "mix_cut", "mix_place")
+    # One row a source: broadcast by its size, or joined with the hot sources spread.
+    keyed = sized.withColumn(key, F.col(source))
+    known = lookup_join(keyed, settle(plan, "mix_plan"), key, null_safe=True)
+    repeats = F.col(whole) + (F.col(place) < F.col(cut)).cast("int")
+    return known.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        *added[:3],
+        F.least(repeats, F.lit(max_epochs)).alias("mix_repeats"),
     )
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """A row for each repetition; documents taken 0 times are left out."""
     times = F.explode(F.array_repeat(F.lit(1), F.col("mix_repeats")))
-    return mixed.withColumn("mix_copy", times).drop("mix_copy")
+    copy = unused("mix_copy", mixed)
+    return mixed.withColumn(copy, times).drop(copy)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -12,7 +14,7 @@ from areacast.llm.text import utf8_bytes, word_count
 #: Cells that groups of equal texts fall into by hash.  Cells are packed, so what the
 #: driver holds does not depend on the data.
 CELLS = 4096
-#: A group with more than this part of all bytes is split into parts of that size.
+#: A group with more than this part of all bytes, tokens or rows is split into such parts.
 HEAVY = 1 / 1024
 
 
@@ -41,8 +43,8 @@ def shard_documents(
     """``id, size, n_tokens, text_crc32, shard, slot`` for every row of ``docs``.
 
     The size is the text's UTF-8 bytes plus 1.  Equal texts fall into one cell and
-    share a shard, unless they hold over ``HEAVY`` of all bytes: such a group is split
-    by id.  ``slot`` numbers the rows of a shard from 0 without gaps.  A missing text
+    share a shard, unless they hold over ``HEAVY`` of all bytes, tokens or rows (as many
+    missing texts do): such a group is split by id.  ``slot`` numbers the rows of a shard from 0 without gaps.  A missing text
     counts as empty; rows without id and repeated rows are rows like others; an empty
     table gives no rows; other columns are not read.
     """
@@ -55,15 +57,17 @@ def shard_documents(
         F.crc32(t.cast("binary")).alias("text_crc32"),
         F.md5(t.cast("binary")).alias("group"),
     )
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    sums = [F.sum("size"), F.sum("n_tokens"), F.count("*")]
+    totals = [F.lit(max(v or 0, 1)) for v in rows.agg(*sums).first()]
+    share = F.greatest(*(part / whole for part, whole in zip(sums, totals, strict=True)))
     heavy = (
-        rows.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > total * HEAVY)
-    ).collect()  # fewer than 1 / HEAVY rows
+        rows.groupBy("group").agg(share.alias("share")).where(F.col("share") > HEAVY)
+    ).collect()  # fewer than 3 / HEAVY rows
     base = CELLS
     parts = []
-    for row in sorted(heavy):
-        n = int(-(-row["bytes"] // (total * HEAVY)))
-        parts.append((row["group"], base, n))
+    for group, part in sorted(heavy):
+        n = math.ceil(part / HEAVY)
+        parts.append((group, base, n))
         base += n
     split = F.broadcast(spark.createDataFrame(parts, "group string, base long, parts long"))
     cell = F.pmod(F.xxhash64("group"), F.lit(CELLS))
@@ -73,8 +77,8 @@ def shard_documents(
     )
     units = sorted(
         rows.groupBy("unit")
-        .agg(F.sum("size"), F.sum("n_tokens"), F.count("*"))
-        .collect()  # at most CELLS + 2 / HEAVY rows
+        .agg(*sums)
+        .collect()  # at most CELLS + 6 / HEAVY rows
     )
     loads = np.array([tuple(u)[1:] for u in units], float).reshape(-1, 3)
     placed = place_units(loads, shards)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words are maximal runs without these characters.
@@ -88,3 +88,11 @@ def word_array(text: Column) -> Column:
 
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, or a longer one if a table has a column of that name in any case."""
+    taken = {c.lower() for table in tables for c in table.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

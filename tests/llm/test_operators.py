@@ -223,6 +223,22 @@ def test_mixing_meets_targets_of_many_documents(spark):
         assert r["taken"] == pytest.approx(r["target"], rel=0.005)
 
 
+def test_columns_with_the_names_of_helpers_stay(docs):
+    helpers = ("mix_source", "MIX_Place", "mix_whole", "mix_cut", "mix_copy", "lang_has_letter")
+    clashing = docs.withColumns({h: F.lit(f"{h} of the user") for h in helpers})
+    plain = got(mixing.repeated(mixing.mix_sources(docs)), "doc_id", "mix_size", "mix_repeats")
+    out = mixing.repeated(mixing.mix_sources(clashing))
+    assert got(out, "doc_id", "mix_size", "mix_repeats") == plain
+    rated = langid.predict_languages(clashing, langid.fit_languages(clashing))
+    for df in (out, rated):
+        assert got(df.select(*helpers).distinct(), *helpers) == [tuple(f"{h} of the user" for h in helpers)]
+
+
+def test_hot_source_does_not_move_documents(docs):
+    plan = mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_lm_baseline_and_score(docs, empty):
     learn = ~queries.held_out("doc_id", 7)
     out = lm.score_texts(docs, learn)
@@ -288,6 +304,48 @@ def test_shards_are_balanced_with_a_large_group(spark):
         assert max(column) < 1.02 * sum(column) / 16
 
 
+@pytest.mark.parametrize("missing", [0, 3, 6, 9])
+def test_shards_are_balanced_with_missing_texts(spark, missing):
+    text = F.concat(F.repeat(F.lit("word "), (F.col("id") % 37).cast("int")), F.col("id").cast("string"))
+    gone = F.pmod(F.xxhash64("id"), F.lit(10)) < missing
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(~gone, text).alias("text"))
+    out = sharding.shard_documents(df)
+    loads = [tuple(r) for r in out.groupBy("shard").agg(F.sum("size"), F.count("*")).collect()]
+    for place, room in ((1, 1.01), (2, 1.02)):
+        column = [r[place] for r in loads]
+        assert len(column) == 16
+        assert max(column) < room * sum(column) / 16 and min(column) > (2 - room) * sum(column) / 16
+
+
+def test_shards_equal_packing_one_group_at_a_time(docs):
+    """Equal texts share a shard, checksums are right, and the packing is the plain rule."""
+    rows = sharding.shard_documents(docs, shards=4).collect()
+    texts = Counter((id, len((t or "").encode()) + 1, cases.zlib.crc32((t or "").encode())) for id, t in PAIRS)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == texts
+    at: dict[int, set] = {}
+    for r in rows:
+        at.setdefault(r["text_crc32"], set()).add(r["shard"])
+    total = [sum(r[k] for r in rows) for k in ("size", "n_tokens")] + [len(rows)]
+    for crc, shards in at.items():
+        own = [r for r in rows if r["text_crc32"] == crc]
+        shares = [sum(r[k] for r in own) / t for k, t in zip(("size", "n_tokens"), total, strict=False)]
+        if max(*shares, len(own) / len(rows)) <= sharding.HEAVY:
+            assert len(shards) == 1
+
+    rng = np.random.default_rng(5)
+    loads = rng.integers(0, 50, (200, 3)).astype(float)
+    parts = loads / loads.sum(axis=0) * 4
+    room = [[1.0] * 3 for _ in range(4)]
+    expected = [0] * 200
+    for u in sorted(range(200), key=lambda u: (-max(parts[u]), u)):
+        scores = [sum(a * b for a, b in zip(left, parts[u], strict=True)) for left in room]
+        fits = [s for s in range(4) if all(a >= b - 1e-12 for a, b in zip(room[s], parts[u], strict=True))]
+        best = max(fits or range(4), key=lambda s: (scores[s], -s))
+        expected[u] = best
+        room[best] = [a - b for a, b in zip(room[best], parts[u], strict=True)]
+    assert sharding.place_units(loads, 4).tolist() == expected
+
+
 def test_packing(docs, empty):
     library = Tokenizer.from_file(BYTES)
     ids = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for _, t in PAIRS]

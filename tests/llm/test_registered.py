@@ -91,3 +91,15 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
     assert docs.count() == 0
+
+
+def test_pipeline_stages_keep_columns_with_the_names_of_helpers(spark, tmp_path):
+    docs = cases.frame(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    names = ("copy", "text_hash", "text_key", "kept_text", "input_hash", "mix_source", "lang_has_letter")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = stage(spark, docs, FOLDER)
+        out = stage(spark, docs.withColumns({c: corpus_pipeline.F.lit("own") for c in names}), FOLDER)
+        assert {tuple(r) for r in out.select(*names).distinct().collect()} == {("own",) * len(names)}
+        assert cases.ordered(map(tuple, out.select(*plain.columns).collect())) == cases.ordered(
+            map(tuple, plain.collect())
+        )
