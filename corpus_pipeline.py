@@ -16,6 +16,7 @@ from areacast.llm.langid import fit_languages, predict_languages
 from areacast.llm.mixing import mix_sources, repeated
 from areacast.llm.packing import pack_documents
 from areacast.llm.substring import remove_repeats
+from areacast.llm.text import unused
 from areacast.sources.shared import settle
 
 #: Below this raw score of the best language (ideally 1) a text is taken to be in none.
@@ -41,31 +42,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows repeated with id and text count as one; rows without id are all kept.
     """
     groups = jaccard_components(docs, hashed=True)
-    dropped = groups.where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
-    order = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
-    rank = F.when(F.col("doc_id").isNotNull(), F.row_number().over(order)).otherwise(1)
+    key, copy = unused("text_key", docs), unused("copy", docs)
+    dropped = (
+        groups.where("doc_id <> component_id").select("doc_id", F.col("text_hash").alias(key)).distinct()
+    )
+    order = W.partitionBy("doc_id", key).orderBy("source", "lang")
+    keyed = docs.withColumn(key, F.xxhash64("text")).join(dropped, ["doc_id", key], "left_anti")
+    # Rows without id are no copies of one another, and need not meet in a task.
+    named = keyed.where("doc_id is not null").withColumn(copy, F.row_number().over(order))
     return (
-        docs.withColumn("text_hash", F.xxhash64("text"))
-        .join(dropped, ["doc_id", "text_hash"], "left_anti")
-        .withColumn("copy", rank)
-        .where("copy = 1")
+        named.where(F.col(copy) == 1)
         .select(docs.columns)
+        .unionByName(keyed.where("doc_id is null").select(docs.columns))
     )
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces texts by what is left of them without passages of earlier documents."""
+    key, kept = unused("text_key", docs), unused("kept_text", docs)
     changed = (
         remove_repeats(docs)
         .where("n_removed > 0")
-        .select("doc_id", F.col("text_hash").alias("input_hash"), "kept_text")
-        .dropDuplicates(["doc_id", "input_hash"])
-    )
-    text = F.coalesce("kept_text", "text")
-    length = F.when(F.col("kept_text").isNotNull(), F.char_length("kept_text").cast("long"))
-    joined = docs.withColumn("input_hash", F.xxhash64("text")).join(
-        changed, ["doc_id", "input_hash"], "left"
+        .select("doc_id", F.col("text_hash").alias(key), F.col("kept_text").alias(kept))
+        .dropDuplicates(["doc_id", key])
     )
+    text = F.coalesce(kept, "text")
+    length = F.when(F.col(kept).isNotNull(), F.char_length(kept).cast("long"))
+    joined = docs.withColumn(key, F.xxhash64("text")).join(changed, ["doc_id", key], "left")
     return joined.withColumns(
         {"text": text, "n_chars": F.coalesce(length, F.col("n_chars"))}
     ).select(docs.columns)
