@@ -10,6 +10,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssemble
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from areacast.models.crossed import independent_of_two
 from areacast.models.gram import Layout, accumulate
 from areacast.models.spec import ModelSpec, is_factor
 from areacast.operators.joins import lookup_join
@@ -19,6 +20,8 @@ MAX_LEVELS = 1_000_000
 # Normal equations are solved up to this many columns.
 MAX_DENSE = 4096
 ALIAS_TOLERANCE = 1e-8
+# A second factor with more levels gets no matrix over them either; results are the same.
+DENSE_SECOND = 512
 # Up to this many levels are numbered by a model in the plan, more by a joined table.
 INLINE_CODES = 1_000
 
@@ -211,11 +214,16 @@ class Design:
     def independent(self, coded: DataFrame) -> tuple[int, ...]:
         """The independent columns of ``moments`` without a matrix over the longest
         factor's levels: sums by level, and cross-products of the other columns alone.
+        A second long factor is left out of that matrix too (see ``crossed``).
         """
         texts = [t for t in self.spec.fixed if t in self.factors]
-        longest = max(texts, key=lambda t: len(self.factors[t].levels), default=None)
-        if longest is None or len(self.factors[longest].levels) < 2:
+        texts = sorted(texts, key=lambda t: -len(self.factors[t].levels))
+        if not texts or len(self.factors[texts[0]].levels) < 2:
             return self.moments(coded).kept
+        longest = texts[0]
+        if len(texts) > 1 and len(self.factors[texts[1]].levels) > DENSE_SECOND:
+            first, second = sorted(texts[:2], key=self.spec.fixed.index)
+            return independent_of_two(self, coded, first, second, ALIAS_TOLERANCE)
         levels, number = len(self.factors[longest].levels), self.index_column(longest)
         numeric = [t for t in self.spec.fixed if t not in self.factors]
         sums = [F.sum(F.col("_n") * F.col(t).cast("double")) / F.sum("_n") for t in numeric]

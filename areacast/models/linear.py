@@ -157,7 +157,7 @@ def fit_linear_cells(cells: DataFrame, spec: ModelSpec, eliminate: bool | None =
     long = longest is not None and len(design.factors[longest].levels) > 1
     if eliminate is None:
         eliminate = wide and long and len(design.columns) - len(design.factors[longest].levels) < MAX_DENSE
-    if eliminate and long:
+    if wide or (eliminate and long):
         # Read once a step.
         coded = settle(coded, "coded")
     kept = design.independent(coded) if wide or eliminate else design.moments(coded).kept
