@@ -21,7 +21,7 @@ from areacast.models.design import Design
 from areacast.models.gram import accumulate
 from areacast.models.linear import INTERCEPT, predictor_from, term_name
 from areacast.models.predict import LinearPredictor
-from areacast.models.spec import ModelSpec, collapse
+from areacast.models.spec import ModelSpec, collapse, report
 from areacast.sources.shared import settle
 
 #: Columns that join the active set at once, those of the largest gradients first.
@@ -202,6 +202,7 @@ def fit_lasso_cells(
                 break
     coefs = beta * unit
     found = predictor()
+    report(violation <= tol, "LASSO", passes)
     return LassoFit(
         spec, design, penalty, float(head - coefs @ centre), coefs, found, cells, passes, violation, violation <= tol
     )

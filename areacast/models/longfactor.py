@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from areacast.models.design import Design, _independent
 from areacast.models.gram import Layout, Sums, accumulate
+from areacast.models.spec import report
 
 
 def longest_factor(design: Design) -> str | None:
@@ -184,4 +185,5 @@ def fit_long(
         if converged or spec.family == "gaussian":
             converged = True
             break
+    report(converged, "regression with a long factor", passes)
     return LongFit(design, kept, coding, layout, beta, effects, passes, converged)

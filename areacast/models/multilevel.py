@@ -20,7 +20,7 @@ from areacast.models.design import MAX_DENSE, Design, Factor
 from areacast.models.gram import Layout, Sums, accumulate
 from areacast.models.linear import INTERCEPT, _row, predictor_from, term_name
 from areacast.models.predict import LinearPredictor
-from areacast.models.spec import ModelSpec, collapse
+from areacast.models.spec import ModelSpec, collapse, report
 from areacast.sources.shared import settle
 
 # Group blocks (groups x slopes x columns) the driver solves, as many doubles.
@@ -225,7 +225,8 @@ def fit_multilevel_cells(
 ) -> MultilevelFit:
     """Laplace fit of coefficients and effect covariance.
 
-    With a given ``covariance`` it is the penalised likelihood fit at that value.
+    With a given ``covariance`` it is the penalised likelihood fit at that value.  Warns
+    (``NotConverged``) if estimates still move by ``tol`` after ``max_passes``.
     """
     if spec.family != "binomial":
         raise ValueError("fit_multilevel fits a binomial outcome")
@@ -283,6 +284,7 @@ def fit_multilevel_cells(
             break
     final = accumulate(coded, layout, "binomial", beta, effects, spread)
     coded.unpersist()
+    report(converged, "multilevel model", step)
     return _finish(spec, design, cells, kept, shift, scale, slope_stats, group, final,
                    schur, beta, effects, sigma, step + 1, converged)
 

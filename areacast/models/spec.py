@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -49,6 +50,15 @@ class ModelSpec:
         return replace(self, **changes)
 
 
+class NotConverged(UserWarning):
+    """A fit stopped at its number of passes; its estimates are those of the last one."""
+
+
+def report(converged: bool, model: str, passes: int) -> None:
+    if not converged:
+        warnings.warn(f"{model} did not converge in {passes} passes", NotConverged, stacklevel=3)
+
+
 def is_factor(schema: T.StructType, column: str, spec: ModelSpec) -> bool:
     kind = schema[column].dataType
     return column in spec.levels or not isinstance(kind, T.NumericType)

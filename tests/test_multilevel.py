@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from areacast.models.linear import fit_linear
 from areacast.models.multilevel import fit_multilevel
-from areacast.models.spec import ModelSpec
+from areacast.models.spec import ModelSpec, NotConverged
 from areacast.operators import frames
 from areacast.operators.poststratify import area_mean
 
@@ -27,6 +27,12 @@ def test_converges_in_few_passes(fit):
     assert fit.converged and fit.passes < 20
 
 
+def test_a_fit_that_stops_early_says_so(sample):
+    with pytest.warns(NotConverged, match="2 passes"):
+        early = fit_multilevel(sample, SPEC, max_passes=2)
+    assert not early.converged
+
+
 def test_close_to_the_laplace_optimum(sample, fit):
     pdf = sample.select("gender", "age", "division", "biden_vote_share", "defund_police").toPandas()
     y = pdf.defund_police.to_numpy()
