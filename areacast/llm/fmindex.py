@@ -5,6 +5,14 @@ from __future__ import annotations
 import numpy as np
 
 
+#: For each number below 64, that many low bits.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
+#: Positions searched together: few enough for a core's cache.
+_BLOCK = 1 << 16
+
+
 class BitVector:
     """Packed bits with the number of ones before each 64-bit word."""
 
@@ -14,14 +22,13 @@ class BitVector:
         padded = np.zeros(size * 8, np.uint8)
         padded[: len(packed)] = packed
         self.words = padded.view(np.uint64)
-        ones = np.bitwise_count(self.words).astype(np.int64)
-        self.before = np.append(0, np.cumsum(ones)[:-1])
+        ones = np.cumsum(np.bitwise_count(self.words), dtype=np.int64)
+        self.before = np.append(0, ones[:-1])
 
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Ones among the first ``i`` bits."""
         at = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[at] + np.bitwise_count(self.words[at] & mask)
+        return self.before[at] + np.bitwise_count(self.words[at] & _BELOW[i & 63])
 
 
 class WaveletMatrix:
@@ -45,50 +52,63 @@ class WaveletMatrix:
     @staticmethod
     def _down(vector: BitVector, zeros: int, right: np.ndarray, i: np.ndarray) -> np.ndarray:
         ones = vector.ones(i)
-        return np.where(right, zeros + ones, i - ones)
+        return np.where(right, ones + zeros, i - ones)
 
-    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """How often each symbol is among the first ``i``."""
+    def rank(self, symbol: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+        """How often each symbol is among the first ``i``, for each ``i`` of ``ends``."""
         for level in range(self.levels):
             right = (symbol >> (self.levels - 1 - level)) & 1 == 1
-            i = self._down(self.bits[level], self.zeros[level], right, i)
-        return i - self.first[symbol]
+            ends = [self._down(self.bits[level], self.zeros[level], right, i) for i in ends]
+        first = self.first[symbol]
+        return [i - first for i in ends]
 
 
 class SegmentIndex:
-    """FM-index of segments, each ended by a sentinel of its own."""
+    """FM-index of segments, each ended by a sentinel of its own.
+
+    Suffixes are sorted by their first ``depth`` words; patterns may have so many.
+    Those that start with one pattern stand together, and as many before them precede a
+    word's own as in a full sort, so steps of the backward search are the same.
+    """
 
-    def __init__(self, segments: list[np.ndarray]):
+    def __init__(self, segments: list[np.ndarray], depth: int):
         sizes = np.array([len(s) for s in segments])
         self.starts = np.cumsum(sizes + 1) - sizes - 1
         words, ids = np.unique(np.concatenate(segments), return_inverse=True)
-        self.text = np.zeros(int((sizes + 1).sum()), np.int64)
-        inside = np.ones(len(self.text), bool)
+        size = int((sizes + 1).sum())
+        self.text = np.zeros(size, np.int64)
+        inside = np.ones(size, bool)
         inside[self.starts + sizes] = False
         self.text[inside] = ids + 1
         self.owner = np.repeat(np.arange(len(segments)), sizes + 1)
-        self.suffixes = self._sorted(inside, len(segments))
+        self.suffixes = self._sorted(inside, len(segments), depth)
         self.before = WaveletMatrix(self.text[self.suffixes - 1], len(words) + 1)
-        self.smaller = np.searchsorted(
-            np.sort(self.text), np.arange(len(words) + 1)
-        )
+        counts = np.bincount(self.text, minlength=len(words) + 1)
+        self.smaller = np.append(0, np.cumsum(counts))
+
+    def _sorted(self, inside: np.ndarray, segments: int, depth: int) -> np.ndarray:
+        """All suffixes in the order of their first ``depth`` words, or of more.
 
-    def _sorted(self, inside: np.ndarray, segments: int) -> np.ndarray:
-        """All suffixes in order, by doubling the length that is sorted."""
+        Each pass sorts by the ranks of two or, where these fit into 63 bits, three
+        parts, whose words the pass before has sorted.
+        """
         n = len(self.text)
         rank = np.where(inside, self.text + segments, self.owner)
-        step = 1
+        base, sorted_words = n + 1, 1
+        parts = 3 if base**3 < 1 << 63 else 2
         while True:
-            after = np.zeros(n, np.int64)
-            after[:-step] = rank[step:] + 1
-            key = rank * np.int64(2 * n + 2) + after
-            order = np.argsort(key, kind="stable")
-            new = np.append(False, key[order][1:] != key[order][:-1])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
-            if rank[order[-1]] == n - 1 or step >= n // 2:
+            key = rank.copy()
+            for part in range(1, parts):
+                key *= base
+                shift = part * sorted_words
+                key[: max(0, n - shift)] += rank[shift:] + 1
+            order = np.argsort(key)
+            key = key[order]
+            new = np.append(False, key[1:] != key[:-1])
+            sorted_words *= parts
+            if sorted_words >= min(depth, n) or new[1:].all():
                 return order
-            step *= 2
+            rank[order] = np.cumsum(new)
 
     def matches(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of the indexed positions ``at``, up to ``size`` words.
@@ -98,19 +118,23 @@ class SegmentIndex:
         and the range of suffixes that start with the whole pattern; the range is
         empty for patterns that stand in one place alone.
         """
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.text), np.int64)
-        length = np.zeros(len(at), np.int64)
+        low, high, length = (np.zeros(len(at), np.int64) for _ in range(3))
+        for first in range(0, len(at), _BLOCK):
+            block = slice(first, first + _BLOCK)
+            self._search(at[block], size, low[block], high[block], length[block])
+        return length, low, high
+
+    def _search(self, at, size: int, low, high, length) -> None:
         live = np.arange(len(at))
         for j in range(size - 1, -1, -1):
             symbol = self.text[at[live] + j]
-            base = self.smaller[symbol]
-            a = base + self.before.rank(symbol, low[live])
-            z = base + self.before.rank(symbol, high[live])
+            a, z = self.smaller[symbol], self.smaller[symbol + 1]
+            if j < size - 1:
+                a, z = (a + r for r in self.before.rank(symbol, low[live], high[live]))
             kept = z - a >= 2
             low[live], high[live] = a, np.where(kept, z, a)
             live = live[kept]
             length[live] += 1
-        return length, low, high
 
     def smallest(self, low: np.ndarray, high: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Smallest ``values`` of the segments that own the suffixes of each range.

@@ -47,6 +47,10 @@ ORDER_BITS = 22
 FREQUENT = 2
 #: Documents in one part of an inverted list, as a power of two.
 PART_BITS = 11
+#: ``least_shared``, ``n - rare_count`` and ``shared`` (by these) in SQL.
+LEAST_SHARED = "n div 64"
+COMMON = "greatest(0, ({n} * {percent} + 99) div 100 - 1 - {n} div 64)"
+SHARED = "({percent} * (n + x.n) + 99 + {percent}) div (100 + {percent}) - greatest(common, x.common)"
 #: Nodes of one component in a list from which they are a list of their own.
 LARGE = 64
 
@@ -93,6 +97,15 @@ def fits(n: int, m: int, percent: int) -> bool:
     return 100 * min(n, m) >= percent * max(n, m)
 
 
+def least_shared(n: int) -> int:
+    """What a set of ``n`` has in common with any set it is linked to, at least.
+
+    ``shared`` is ``extension`` of the larger set, less one where the number of rare
+    shingles of the smaller set is rounded up.
+    """
+    return extension(n) - 1
+
+
 def divide_skip(lists: list[list[int]], least: int) -> list[int]:
     """Ids in at least ``least`` of the sorted ``lists``."""
     return [id for id, _ in occurrences(lists, least)]
@@ -177,10 +190,11 @@ def jaccard_components(
         "lists",
     )
     sizes = classes.groupBy("node").agg(F.min("n").alias("n"), F.min("id").alias("id"))
+    held = settle(_held(lists, sizes), "held")
     verified = _Verify(docs.where("id is not null"), classes, size, percent)
-    near = settle(verified.links(_pivots(lists), "tied"), "near")
+    near = settle(verified.links(_pivots(held), "tied"), "near")
     first = settle(components(near), "first")
-    rest = settle(verified.links(_search(lists, first, sizes, percent), "found"), "rest")
+    rest = settle(verified.links(_search(held, first, percent), "found"), "rest")
     final = components(near.unionByName(rest))
     named = sizes.join(final, "node", "left").select(
         "node", "id", F.coalesce("label", "node").alias("label")
@@ -354,14 +368,26 @@ def _list_rows(columns: list[np.ndarray]) -> pa.RecordBatch:
     )
 
 
-def _pivots(lists: DataFrame) -> DataFrame:
+def _held(lists: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The lists by node, with its size, its number of lists and all their lengths.
+
+    A node in fewer lists than it must share with any other has no link, so no rows.
+    """
+    held = lists.select("shingle", "part", F.explode("nodes").alias("node"), F.size("nodes").alias("held"))
+    nodes = (
+        held.groupBy("node")
+        .agg(F.sum("held").alias("weight"), F.count("*").alias("lists"))
+        .join(sizes.select("node", "n"), "node")
+        .where(F.col("lists") >= F.expr(LEAST_SHARED))
+    )
+    return held.drop("held").join(nodes, "node")
+
+
+def _pivots(held: DataFrame) -> DataFrame:
     """Each node with the hub and the smallest node that it meets most often in its lists."""
-    held = lists.select("shingle", F.explode("nodes").alias("a"), F.size("nodes").alias("held"))
-    weights = held.groupBy("a").agg(F.sum("held").alias("weight"))
-    ends = (
-        held.join(weights, "a")
-        .groupBy("shingle")
-        .agg(F.min("a").alias("low"), F.max_by("a", F.struct("weight", "a")).alias("hub"))
+    held = held.select("shingle", F.col("node").alias("a"), "weight")
+    ends = held.groupBy("shingle").agg(
+        F.min("a").alias("low"), F.max_by("a", F.struct("weight", "a")).alias("hub")
     )
     return (
         held.join(ends, "shingle")
@@ -441,13 +467,15 @@ def _probe(size: int, percent: int):
     return run
 
 
-def _search(lists: DataFrame, first: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components that share enough rare shingles."""
-    held = (
-        lists.select("shingle", "part", F.explode("nodes").alias("node"))
-        .join(first, "node", "left")
-        .join(sizes.select("node", "n"), "node")
-        .select("shingle", "part", "node", "n", F.coalesce("label", "node").alias("label"))
+def _search(held: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of different components that share enough rare shingles.
+
+    A list is sent to a query without the nodes that cannot be its partners: those of an
+    unfit size, and those with whom it must share more lists than one of the two is in.
+    """
+    held = held.join(first, "node", "left").select(
+        "shingle", "part", "node", "n", "lists", F.coalesce("label", "node").alias("label"),
+        F.expr(COMMON.format(n="n", percent=percent)).alias("common"),
     )
     mixed = (
         held.groupBy("shingle")
@@ -455,34 +483,31 @@ def _search(lists: DataFrame, first: DataFrame, sizes: DataFrame, percent: int)
         .where("low != high")
         .select("shingle")
     )
-    held = settle(held.join(mixed, "shingle"), "mixed")
-    lists = held.groupBy("shingle", "part", "label").agg(
-        F.collect_list("node").alias("nodes"), F.collect_list("n").alias("sizes")
+    held = settle(held.join(mixed, "shingle"), "mixed").where("shingle is not null and label is not null")
+    # A part is bounded, so its nodes may meet in one task.
+    lists = (
+        held.repartition("shingle", "part")
+        .groupBy("shingle", "part", "label")
+        .agg(F.collect_list(F.struct("node", "n", "lists", "common", "label")).alias("met"))
     )
-    large = F.size("nodes") >= LARGE
-    names = F.transform("nodes", lambda _: F.col("label"))
-    apart = lists.where(large).select("shingle", F.col("label").alias("other"), "nodes", "sizes")
+    large = F.size("met") >= LARGE
+    apart = lists.where(large).select("shingle", F.col("label").alias("other"), "met")
     together = (
         lists.where(~large)
         .groupBy("shingle", "part")
-        .agg(
-            F.flatten(F.collect_list("nodes")).alias("nodes"),
-            F.flatten(F.collect_list("sizes")).alias("sizes"),
-            F.flatten(F.collect_list(names)).alias("others"),
-        )
+        .agg(F.flatten(F.collect_list("met")).alias("met"))
         .drop("part")
     )
-    asked = held.select("shingle", "node", "n", "label")
-    columns = ("node", "n", "shingle", "label", "nodes", "sizes", "others")
+    may = f"""filter(met, x -> x.label > label
+        and 100 * least(n, x.n) >= {percent} * greatest(n, x.n)
+        and {SHARED.format(percent=percent)} <= least(lists, x.lists))"""
+    asked = held.select("shingle", "node", "n", "lists", "label", "common")
     return (
         asked.join(together, "shingle")
-        .select(*columns)
-        .unionByName(
-            asked.join(apart, "shingle")
-            .where("other > label")
-            .withColumn("others", F.lit(None).cast("array<long>"))
-            .select(*columns)
-        )
+        .unionByName(asked.join(apart, "shingle").where("other > label").drop("other"))
+        .withColumn("met", F.expr(may))
+        .where(F.size("met") > 0)
+        .select("node", "n", "shingle", F.col("met.node").alias("nodes"), F.col("met.n").alias("sizes"))
         .repartition("node")
         .sortWithinPartitions("node", "shingle")
         .mapInArrow(_merge(percent), "a long, b long")
@@ -499,21 +524,16 @@ def _merge(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]):
         node, of, lists, last, size_of = None, 0, [], None, {}
-        for q, n, shingle, label, nodes, sizes, others in rows(batches):
+        for q, n, shingle, nodes, sizes in rows(batches):
             if q != node:
                 if node is not None:
                     yield answer(node, of, lists, size_of)
                 node, of, lists, last, size_of = q, n, [], None, {}
-            met = {
-                b: m
-                for i, (b, m) in enumerate(zip(nodes, sizes, strict=True))
-                if fits(n, m, percent) and (others is None or others[i] > label)
-            }
-            size_of.update(met)
+            size_of.update(zip(nodes, sizes, strict=True))
             if shingle == last:
-                lists[-1] = sorted(lists[-1] + list(met))
+                lists[-1] = sorted(lists[-1] + nodes)
             else:
-                lists.append(sorted(met))
+                lists.append(sorted(nodes))
             last = shingle
         if node is not None:
             yield answer(node, of, lists, size_of)

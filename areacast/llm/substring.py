@@ -30,24 +30,41 @@ HOT = 4096
 _HOT_BITS = 20
 #: Segments of one shard.
 SHARD = 60_000
+#: Words of texts whose keys are found together.
+_TOGETHER = 100_000
 #: Bytes of a word's hash that are indexed.
 SYMBOL = 6
 
 
-def minimizer_runs(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first and last window of each run of windows with one minimizer."""
+def minimizer_runs(
+    hashes: np.ndarray, window: int, sizes: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first and last window of each run of windows with one minimizer.
+
+    ``sizes`` are the words of each text where several stand one after the other; no
+    window then reaches into the next text.
+    """
     grams = window_hashes(hashes, GRAM)
     count = len(hashes) - window + 1
     if count <= 0:
         empty = np.empty(0, np.int64)
         return grams[:0], empty, empty
-    best, place = grams[:count].copy(), np.arange(count)
-    for j in range(1, window - GRAM + 1):
-        lower = grams[j : j + count] < best
-        best[lower] = grams[j : j + count][lower]
-        place[lower] = np.flatnonzero(lower) + j
+    # The smallest of so many grams from each place on, and its place; the first of equal ones.
+    best, place, seen = grams, np.arange(len(grams)), 1
+    while seen < window - GRAM + 1:
+        step = min(seen, window - GRAM + 1 - seen)
+        lower = best[step:] < best[:-step]
+        best = np.where(lower, best[step:], best[:-step])
+        place = np.where(lower, place[step:], place[:-step])
+        seen += step
+    at = np.arange(count)
+    if sizes is not None:
+        at = np.flatnonzero(at + window <= np.repeat(np.cumsum(sizes), sizes)[:count])
+        if not len(at):
+            return grams[:0], at, at
+        best, place = best[at], place[at]
     first = np.append(0, np.flatnonzero(place[1:] != place[:-1]) + 1)
-    return best[first], first, np.append(first[1:], count) - 1
+    return best[first], at[first], at[np.append(first[1:], len(at)) - 1]
 
 
 def remove_repeats(
@@ -148,7 +165,18 @@ def _keys(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]):
         keys, ids, held = [], [], 0
+        hashes, docs, waiting = [], [], 0
         seen: set[int] = set()
+
+        def settle_texts() -> int:
+            sizes = np.array([len(h) for h in hashes])
+            key, first, _ = minimizer_runs(np.concatenate(hashes), window, sizes)
+            keys.append(key)
+            ids.append(np.array(docs, np.int64)[np.searchsorted(np.cumsum(sizes), first, "right")])
+            hashes.clear()
+            docs.clear()
+            return len(key)
+
         for (text,) in rows(batches):
             parts = words(text)
             doc = _doc(b" ".join(parts))
@@ -157,13 +185,21 @@ def _keys(window: int):
             if len(seen) >= 1_000_000:
                 seen.clear()
             seen.add(doc)
-            k = np.unique(minimizer_runs(word_hashes(parts), window)[0])
-            keys.append(k)
-            ids.append(np.full(len(k), doc, np.int64))
-            held += len(k)
+            if len(parts) < window:
+                continue
+            hashes.append(word_hashes(parts))
+            docs.append(doc)
+            waiting += len(parts)
+            if waiting >= _TOGETHER:
+                held += settle_texts()
+                waiting = 0
             if held >= 1_500_000:
                 yield _key_rows(keys, ids)
-                keys, ids, held = [], [], 0
+                keys.clear()
+                ids.clear()
+                held = 0
+        if hashes:
+            held += settle_texts()
         if held:
             yield _key_rows(keys, ids)
 
@@ -174,6 +210,8 @@ def _key_rows(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
     key, id = signed(np.concatenate(keys)), np.concatenate(ids)
     order = np.lexsort((id, key))
     key, id = key[order], id[order]
+    once = np.append(True, (key[1:] != key[:-1]) | (id[1:] != id[:-1]))
+    key, id = key[once], id[once]
     new = np.append(True, key[1:] != key[:-1])
     starts = np.flatnonzero(new)
     several = np.maximum.reduceat(id, starts) != np.minimum.reduceat(id, starts)
@@ -404,7 +442,7 @@ def _matched(window: int):
 def _earlier(ids: np.ndarray, parts: list[bytes], window: int) -> Iterator[tuple[int, int, int]]:
     """Segment and words covered by windows that a segment of a smaller id holds too."""
     segments = [_symbols(p) for p in parts]
-    index = SegmentIndex(segments)
+    index = SegmentIndex(segments, window)
     counts = np.array([len(s) - window + 1 for s in segments])
     segment = np.repeat(np.arange(len(segments)), counts)
     within = np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts)

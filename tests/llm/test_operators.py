@@ -15,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import cases
 from areacast.llm import jaccard, langid, lm, mixing, packing, quality, sharding, substring
 from areacast.llm import queries, tokencount, topk
+from areacast.llm.fmindex import SegmentIndex
 from tokenizers import Tokenizer
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,6 +79,26 @@ def test_linked_sets_share_enough_rare_shingles():
     assert linked > 1000
 
 
+def test_sets_of_any_size_share_the_least_that_is_asked():
+    for percent in (60, 75, 90):
+        for n in range(1, 400):
+            most = n * 100 // percent
+            for m in range(n, most + 1):
+                asked = jaccard.shared(n, m, percent)
+                assert asked >= jaccard.least_shared(m) >= jaccard.least_shared(n)
+
+
+def test_sql_of_the_search_equals_its_functions(spark):
+    pairs = [(n, m) for n in range(1, 300, 7) for m in range(1, 400, 11)]
+    table = spark.createDataFrame(pairs, "n long, m long").selectExpr(
+        "n", "m", f"{jaccard.COMMON.format(n='n', percent=75)} common",
+        f"named_struct('n', m, 'common', {jaccard.COMMON.format(n='m', percent=75)}) x",
+        f"{jaccard.LEAST_SHARED} least",
+    ).selectExpr("n", "m", "least", f"{jaccard.SHARED.format(percent=75)} shared")
+    for n, m, least, shared in table.collect():
+        assert (least, shared) == (jaccard.least_shared(n), jaccard.shared(n, m, 75))
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(5)
     for _ in range(200):
@@ -172,6 +193,56 @@ def test_substrings_equal_the_definition(docs, empty):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_keys_of_texts_together_equal_those_of_each():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        sizes = rng.integers(0, 40, rng.integers(1, 12))
+        texts = [rng.integers(0, 6, n).astype(np.uint64) for n in sizes]
+        start = np.cumsum(sizes) - sizes
+        together = zip(*(x.tolist() for x in substring.minimizer_runs(np.concatenate(texts), 13, sizes)))
+        each = [
+            (key, a + int(start[i]), z + int(start[i]))
+            for i, t in enumerate(texts)
+            for key, a, z in zip(*(x.tolist() for x in substring.minimizer_runs(t, 13)))
+        ]
+        assert list(together) == each
+        for t in texts:
+            grams = substring.window_hashes(t, substring.GRAM)
+            windows = [
+                (int(key), i)
+                for key, a, z in zip(*substring.minimizer_runs(t, 13))
+                for i in range(a, z + 1)
+            ]
+            assert windows == [(int(min(grams[i : i + 7])), i) for i in range(max(0, len(t) - 12))]
+
+
+@pytest.mark.parametrize("words", [3, 4000])
+def test_index_finds_how_far_windows_stand_elsewhere(words):
+    rng = np.random.default_rng(words)
+    segments = [rng.integers(1, words, rng.integers(13, 70)).astype(np.uint64) for _ in range(40)]
+    segments += [np.append(rng.integers(1, words, 3).astype(np.uint64), s[: rng.integers(10, 14)]) for s in segments]
+    index = SegmentIndex(segments, 13)
+    values = rng.permutation(len(segments))
+    held = {}
+    for s, part in enumerate(segments):
+        for n in range(1, 14):
+            for i in range(len(part) - n + 1):
+                held.setdefault(tuple(part[i : i + n].tolist()), []).append(values[s])
+    for s, part in enumerate(segments):
+        at = np.arange(len(part) - 12)
+        if not len(at):
+            continue
+        length, low, high = index.matches(index.starts[s] + at, 13)
+        for i in at.tolist():
+            window = part[i : i + 13].tolist()
+            most = max((n for n in range(1, 14) if len(held[tuple(window[13 - n :])]) > 1), default=0)
+            assert length[i] == most
+        full = np.flatnonzero(length == 13)
+        if len(full):
+            first = index.smallest(low[full], high[full], values)
+            assert first.tolist() == [min(held[tuple(part[i : i + 13].tolist())]) for i in full.tolist()]
+
+
 def test_substrings_with_hot_keys(spark, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(40))
     data = [(i, f"a{i} b{i} c{i % 3} {passage} d{i} e{i % 2}") for i in range(60)]
