@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -419,20 +420,29 @@ def _matched(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]):
         out, ids, parts, places = [], [], [], []
-        for _, id, part, width, row, start in rows(batches):
-            if part is None:
+        for batch in batches:
+            indexed = pc.is_valid(batch.column("words"))
+            known = batch.filter(pc.invert(indexed)).select(["id", "width", "row", "start"])
+            for id, width, row, start in rows([known]):
                 out += [(id, r, a, a + width) for r, a in zip(row, start, strict=True)]
-            else:
-                ids.append(id)
-                parts.append(part)
-                places.append((row, start))
-            if len(out) >= 8192:
-                yield _columns(out, _ANSWERS)
-                out = []
+                if len(out) >= 8192:
+                    yield _columns(out, _ANSWERS)
+                    out = []
+            batch = batch.filter(indexed)
+            ids.append(batch.column("id").to_numpy())
+            parts += batch.column("words").to_pylist()
+            places.append(batch.select(["id", "row", "start"]))
         if parts:
-            for s, a, z in _earlier(np.array(ids, np.int64), parts, window):
-                row, start = places[s]
-                out += [(ids[s], r, b + a, b + z) for r, b in zip(row, start, strict=True)]
+            spans = list(_earlier(np.concatenate(ids), parts, window))
+            held = pa.Table.from_batches(places)
+            for at in range(0, len(spans), 8192):
+                some = spans[at : at + 8192]
+                asked = held.take(pa.array([s for s, _, _ in some], pa.int64()))
+                for (_, a, z), (id, row, start) in zip(some, rows(asked.to_batches()), strict=True):
+                    out += [(id, r, b + a, b + z) for r, b in zip(row, start, strict=True)]
+                if out:
+                    yield _columns(out, _ANSWERS)
+                    out = []
         if out:
             yield _columns(out, _ANSWERS)
 
@@ -441,9 +451,10 @@ def _matched(window: int):
 
 def _earlier(ids: np.ndarray, parts: list[bytes], window: int) -> Iterator[tuple[int, int, int]]:
     """Segment and words covered by windows that a segment of a smaller id holds too."""
-    segments = [_symbols(p) for p in parts]
+    sizes = np.array([len(p) // SYMBOL for p in parts])
+    segments = np.split(_symbols(b"".join(parts)), np.cumsum(sizes)[:-1])
     index = SegmentIndex(segments, window)
-    counts = np.array([len(s) - window + 1 for s in segments])
+    counts = sizes - window + 1
     segment = np.repeat(np.arange(len(segments)), counts)
     within = np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts)
     length, low, high = index.matches(index.starts[segment] + within, window)

@@ -26,21 +26,32 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
-class _Hashes(dict):
-    """Word to hash, remembered within a worker up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
-
-
 def word_hashes(parts: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, parts), np.uint64, len(parts))
+    """A hash of each word, by a table of (place, byte); long words by xxhash."""
+    blocks = [_block_hashes(parts[at : at + _WORDS]) for at in range(0, len(parts), _WORDS)]
+    return np.concatenate(blocks) if blocks else np.empty(0, np.uint64)
+
+
+def _block_hashes(parts: list[bytes]) -> np.ndarray:
+    body, long = b" ".join(parts) + b" ", []
+    if len(body) > (_LONG + 1) * len(parts):
+        # Some are long: they are left out, so that a block stays small.
+        long = [i for i, w in enumerate(parts) if len(w) > _LONG]
+        short = [b"" if len(w) > _LONG else w for w in parts]
+        body = b" ".join(short) + b" "
+    data = np.frombuffer(body, np.uint8)
+    ends = np.flatnonzero(data == 0x20)
+    starts = np.append(0, ends[:-1] + 1)
+    sizes = ends + 1 - starts
+    if not long and sizes.max() > _LONG + 1:
+        long = np.flatnonzero(sizes > _LONG + 1).tolist()
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    if long:
+        np.minimum(place, _LONG, out=place)
+    out = mix(np.add.reduceat(_TABLE[place * 256 + data], starts))
+    for i in long:
+        out[i] = xxhash.xxh3_64_intdigest(parts[i])
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -76,6 +87,12 @@ def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
 
 
+#: Words hashed together, and the longest that the table hashes.
+_WORDS, _LONG = 1 << 15, 64
+#: A number for each byte at each place of a word; the blank behind a word counts as well.
+_TABLE = mix(np.arange(1, (_LONG + 1) * 256 + 1, dtype=np.uint64) * _STEP)
+
+
 def word_count(text: Column) -> Column:
     """Number of words, without Python; a missing text has none."""
     return F.coalesce(F.size(word_array(text)).cast("long"), F.lit(0).cast("long"))

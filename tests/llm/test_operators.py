@@ -16,6 +16,7 @@ import cases
 from areacast.llm import jaccard, langid, lm, mixing, packing, quality, sharding, substring
 from areacast.llm import queries, tokencount, topk
 from areacast.llm.fmindex import SegmentIndex
+from areacast.llm.text import word_hashes
 from tokenizers import Tokenizer
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -193,6 +194,23 @@ def test_substrings_equal_the_definition(docs, empty):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_equal_words_alone_have_equal_hashes():
+    rng = random.Random(3)
+    letters = [bytes([c]) for c in range(256) if bytes([c]).split()]
+    pool = [b"".join(rng.choices(letters, k=rng.choice([1, 2, 3, 63, 64, 65, 66, 300]))) for _ in range(3000)]
+    pool = [w for w in pool if len(w.split()) == 1] + [b"a" * n for n in range(1, 200)] + [b"x" * 5_000_000]
+    parts = [rng.choice(pool) for _ in range(70_000)] + pool
+    rng.shuffle(parts)
+    parts = [w for i, w in enumerate(parts) if len(w) < 1000 or i % 40_000 == 0] + [pool[-1]] * 2
+    seen: dict[bytes, set] = {}
+    for w, h in zip(parts, word_hashes(parts).tolist(), strict=True):
+        seen.setdefault(w, set()).add(h)
+    assert all(len(h) == 1 for h in seen.values())
+    assert len({h for each in seen.values() for h in each}) == len(seen)
+    assert all(word_hashes([w])[0] in h for w, h in seen.items())
+    assert len(word_hashes([])) == 0
+
+
 def test_keys_of_texts_together_equal_those_of_each():
     rng = np.random.default_rng(5)
     for _ in range(30):
