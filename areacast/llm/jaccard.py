@@ -45,6 +45,9 @@ from areacast.sources.shared import settle
 ORDER_BITS = 22
 #: A shingle counts as frequent from so many documents of one task.
 FREQUENT = 2
+#: Bits of the table that tells which documents' texts to send.  It affects what is
+#: sent only, never a result, and its size does not depend on the data.
+PICK_BITS = 25
 #: Documents in one part of an inverted list, as a power of two.
 PART_BITS = 11
 #: ``least_shared``, ``n - rare_count`` and ``shared`` (by these) in SQL.
@@ -369,9 +372,9 @@ def _list_rows(columns: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _held(lists: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The lists by node, with its size, its number of lists and all their lengths.
+    """The lists, of nodes with their size, number of lists and all their lengths.
 
-    A node in fewer lists than it must share with any other has no link, so no rows.
+    A node in fewer lists than it must share with any other has no link, so no place.
     """
     held = lists.select("shingle", "part", F.explode("nodes").alias("node"), F.size("nodes").alias("held"))
     nodes = (
@@ -380,18 +383,35 @@ def _held(lists: DataFrame, sizes: DataFrame) -> DataFrame:
         .join(sizes.select("node", "n"), "node")
         .where(F.col("lists") >= F.expr(LEAST_SHARED))
     )
-    return held.drop("held").join(nodes, "node")
+    return _grouped(held.drop("held").join(nodes, "node"), "node", "n", "weight", "lists").where(
+        (F.col("part") > 0) | (F.size("met") > 1)
+    )
+
+
+def _grouped(held: DataFrame, *columns: str) -> DataFrame:
+    """Lists of nodes again.  A part is bounded, so its nodes may meet in one task."""
+    return (
+        held.repartition("shingle", "part")
+        .groupBy("shingle", "part")
+        .agg(F.collect_list(F.struct(*columns)).alias("met"))
+    )
 
 
 def _pivots(held: DataFrame) -> DataFrame:
     """Each node with the hub and the smallest node that it meets most often in its lists."""
-    held = held.select("shingle", F.col("node").alias("a"), "weight")
-    ends = held.groupBy("shingle").agg(
-        F.min("a").alias("low"), F.max_by("a", F.struct("weight", "a")).alias("hub")
+    held = held.select(
+        "shingle", "part", "met",
+        F.array_min("met.node").alias("low"),
+        F.array_max(F.transform("met", lambda x: F.struct(x["weight"], x["node"]))).alias("hub"),
     )
+    parts = held.where("part > 0")
+    ends = parts.groupBy("shingle").agg(F.min("low").alias("low"), F.max("hub").alias("hub"))
     return (
-        held.join(ends, "shingle")
-        .select("a", F.posexplode(F.array("low", "hub")).alias("end", "b"))
+        held.where("part = 0")
+        .drop("part")
+        .unionByName(parts.drop("part", "low", "hub").join(ends, "shingle"))
+        .select(F.explode("met.node").alias("a"), F.array("low", "hub.node").alias("ends"))
+        .select("a", F.posexplode("ends").alias("end", "b"))
         .where("a != b")
         .groupBy("a", "end", "b")
         .count()
@@ -409,8 +429,8 @@ class _Verify:
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs ``a, b`` that are linked, by the whole sets of both.
 
-        The pairs are written first: where they turn out to be few, their texts are
-        picked in the scan of the documents and no others are shuffled.
+        The pairs are written first, and their texts are picked in the scan of the
+        documents, so that hardly any others are shuffled.
         """
         size, percent = self.size, self.percent
         sizes = self.classes.groupBy("node").agg(F.min("n").alias("n"))
@@ -424,11 +444,13 @@ class _Verify:
         asked = settle(
             self.classes.join(ends, "node").select("node", "id").distinct(), f"{name}_ends"
         )
-        texts = self.docs.join(asked, "id").select("node", "text")
+        for end in "ab":
+            pairs = pairs.join(asked.select(F.col("node").alias(end), F.col("id").alias(f"id_{end}")), end)
+        texts = _picked(self.docs, asked)
         for end in "ab":
             pairs = pairs.join(
-                texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")),
-                end,
+                texts.select(F.col("id").alias(f"id_{end}"), F.col("text").alias(f"text_{end}")),
+                f"id_{end}",
             )
         return (
             pairs.select("a", "b", "text_a", "text_b")
@@ -437,6 +459,30 @@ class _Verify:
         )
 
 
+def _picked(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that may have an id of ``asked``, by a table of its ids' hashes."""
+    hashed = F.xxhash64("id").alias("hash")
+    slots = (
+        asked.select(hashed)
+        .groupBy(F.expr(f"cast(shiftrightunsigned(hash, {64 - PICK_BITS + 6}) as int)").alias("slot"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(hash & 63 as int)))").alias("bits"))
+        .toArrow()
+    )
+    table = np.zeros(1 << (PICK_BITS - 6), np.uint64)
+    table[slots["slot"].to_numpy()] = slots["bits"].to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def pick(batches: Iterator[pa.RecordBatch]):
+        table = np.frombuffer(shared.value, np.uint64)
+        for batch in batches:
+            h = batch.column(2).to_numpy().view(np.uint64)
+            there = table[h >> np.uint64(64 - PICK_BITS + 6)] >> (h & np.uint64(63)) & np.uint64(1)
+            yield batch.select([0, 1]).filter(pa.array(there.astype(bool)))
+
+    docs = docs.select("id", "text")
+    return docs.select("id", "text", hashed).mapInArrow(pick, docs.schema)
+
+
 def _probe(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]):
         held: dict[int, np.ndarray | None] = {}
@@ -472,24 +518,50 @@ def _search(held: DataFrame, first: DataFrame, percent: int) -> DataFrame:
 
     A list is sent to a query without the nodes that cannot be its partners: those of an
     unfit size, and those with whom it must share more lists than one of the two is in.
+    A list in one part is answered where it stands; parts of one list meet by shingle.
     """
-    held = held.join(first, "node", "left").select(
-        "shingle", "part", "node", "n", "lists", F.coalesce("label", "node").alias("label"),
-        F.expr(COMMON.format(n="n", percent=percent)).alias("common"),
+    common = F.expr(COMMON.format(n="n", percent=percent)).alias("common")
+    lists = settle(
+        held.select("shingle", "part", F.inline("met"))
+        .join(first, "node", "left")
+        .select("shingle", "part", "node", "n", "lists", F.coalesce("label", "node").alias("label"))
+        .repartition("shingle", "part")
+        .groupBy("shingle", "part", "label")
+        .agg(F.collect_list(F.struct("node", "n", "lists", common, "label")).alias("met"))
+        .groupBy("shingle", "part")
+        .agg(F.collect_list(F.struct("label", "met")).alias("labels"))
+        .where((F.col("part") > 0) | (F.size("labels") > 1)),
+        "mixed",
     )
+    whole = lists.where("part = 0").select("shingle", "labels", F.inline("labels").alias("label", "own"))
+    others = "flatten(transform(filter(labels, x -> x.label > label), x -> x.met))"
+    may = f"""filter(met, x -> x.label > label
+        and 100 * least(n, x.n) >= {percent} * greatest(n, x.n)
+        and {SHARED.format(percent=percent)} <= least(lists, x.lists))"""
+    return (
+        whole.select("shingle", "own", F.expr(others).alias("met"))
+        .where(F.size("met") > 0)
+        .select("shingle", "met", F.inline("own"))
+        .unionByName(_parts_met(lists.where("part > 0")))
+        .withColumn("met", F.expr(may))
+        .where(F.size("met") > 0)
+        .select("node", "n", "shingle", F.col("met.node").alias("nodes"), F.col("met.n").alias("sizes"))
+        .repartition("node")
+        .sortWithinPartitions("node", "shingle")
+        .mapInArrow(_merge(percent), "a long, b long")
+    )
+
+
+def _parts_met(lists: DataFrame) -> DataFrame:
+    """Each node of the lists in several parts, with the nodes of any one part."""
+    lists = lists.select("shingle", "part", F.inline("labels"))
     mixed = (
-        held.groupBy("shingle")
+        lists.groupBy("shingle")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .where("low != high")
         .select("shingle")
     )
-    held = settle(held.join(mixed, "shingle"), "mixed").where("shingle is not null and label is not null")
-    # A part is bounded, so its nodes may meet in one task.
-    lists = (
-        held.repartition("shingle", "part")
-        .groupBy("shingle", "part", "label")
-        .agg(F.collect_list(F.struct("node", "n", "lists", "common", "label")).alias("met"))
-    )
+    lists = lists.join(mixed, "shingle")
     large = F.size("met") >= LARGE
     apart = lists.where(large).select("shingle", F.col("label").alias("other"), "met")
     together = (
@@ -498,19 +570,9 @@ def _search(held: DataFrame, first: DataFrame, percent: int) -> DataFrame:
         .agg(F.flatten(F.collect_list("met")).alias("met"))
         .drop("part")
     )
-    may = f"""filter(met, x -> x.label > label
-        and 100 * least(n, x.n) >= {percent} * greatest(n, x.n)
-        and {SHARED.format(percent=percent)} <= least(lists, x.lists))"""
-    asked = held.select("shingle", "node", "n", "lists", "label", "common")
-    return (
-        asked.join(together, "shingle")
-        .unionByName(asked.join(apart, "shingle").where("other > label").drop("other"))
-        .withColumn("met", F.expr(may))
-        .where(F.size("met") > 0)
-        .select("node", "n", "shingle", F.col("met.node").alias("nodes"), F.col("met.n").alias("sizes"))
-        .repartition("node")
-        .sortWithinPartitions("node", "shingle")
-        .mapInArrow(_merge(percent), "a long, b long")
+    asked = lists.select("shingle", F.inline("met"))
+    return asked.join(together, "shingle").unionByName(
+        asked.join(apart, "shingle").where("other > label").drop("other")
     )
 
 

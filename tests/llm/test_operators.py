@@ -61,6 +61,33 @@ def test_jaccard_of_many_near_copies(spark):
     assert got(out, "doc_id", "n_shingles", "component_id") == cases.ordered(cases.jaccard(data))
 
 
+@pytest.mark.parametrize("part_bits, large", [(11, 64), (1, 2), (2, 64)])
+def test_jaccard_of_lists_in_one_part_and_in_several(spark, monkeypatch, part_bits, large):
+    monkeypatch.setattr(jaccard, "PART_BITS", part_bits)
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    rng, data = random.Random(9), []
+    shared = [f"s{i}" for i in range(24)]
+    for group in range(12):
+        own = shared + [f"g{group}-{i}" for i in range(10 + group)]
+        for _ in range(7):
+            w = list(own)
+            for at in rng.sample(range(len(w)), rng.randrange(3)):
+                w[at] = f"x{rng.randrange(9)}"
+            data.append((len(data), " ".join(w[: len(w) - rng.randrange(6)])))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    out = jaccard.jaccard_components(df)
+    assert got(out, "doc_id", "n_shingles", "component_id") == cases.ordered(cases.jaccard(data))
+
+
+def test_texts_of_verified_pairs_are_picked_in_the_scan(spark):
+    docs = spark.range(20_000).selectExpr("id", "concat('t', id) text", "1 other")
+    asked = spark.range(0, 20_000, 97).selectExpr("id - 3 id", "id node")
+    ids = {r["id"] for r in jaccard._picked(docs, asked).collect()}
+    wanted = {r["id"] for r in asked.where("id >= 0").collect()}
+    assert wanted <= ids and len(ids) <= len(wanted) + 20
+    assert jaccard._picked(docs, asked.where("id > 90000")).count() == 0
+
+
 def test_linked_sets_share_enough_rare_shingles():
     rng, linked = random.Random(5), 0
     for _ in range(4000):
