@@ -3,8 +3,8 @@
 A window of consecutive words is keyed by the smallest hash among its short n-grams
 (its minimizer), so equal windows have equal keys.  Of documents with equal words only
 the first is looked at.  Keys held by several of these are found first.  Runs of windows with such a key then go, as short segments of words, to
-the shard of the key, which indexes them (``fmindex``) and streams them through the
-index: the matching statistics of each window tell whether it stands elsewhere, and the
+the cell of the key; a task indexes some of its cells at a time (``fmindex``) and streams
+their segments through the index: the matching statistics of each window tell whether it stands elsewhere, and the
 range of its suffixes which document is the first to hold it.  What one task already
 knows is not sent: of equal segments of a task, that of the smallest id alone.
 """
@@ -26,11 +26,15 @@ from areacast.llm.text import rows, signed, window_hashes, word_hashes, words
 from areacast.sources.shared import settle
 
 GRAM = 7
-#: Rows from which a key's windows go to shards by their own hash.  Plan only.
+#: Documents from which a key's windows go to cells by their own hash.  Plan only.
 HOT = 4096
 _HOT_BITS = 20
-#: Segments of one shard.
+#: Segments of one shard, and the cells that it has on average.  A task gets whole cells, as
+#: Spark hashes their numbers: so many that no task gets several times its share.
 SHARD = 60_000
+_CELLS = 64
+#: Segments from which the cells of a task so far are indexed, before the next ones.
+_INDEXED = 30_000
 #: Words of texts whose keys are found together.
 _TOGETHER = 100_000
 #: Bytes of a word's hash that are indexed.
@@ -88,7 +92,7 @@ def remove_repeats(
     keyed = settle(
         docs.where("id is not null")
         .select("text")
-        .mapInArrow(_keys(window), "route long, key long, doc long, known boolean")
+        .mapInArrow(_keys(window), "route long, key long, doc long, n long, known boolean")
         .repartition("route")
         .sortWithinPartitions("known", "key", "doc")
         .mapInArrow(_shared, "key long, doc long, rows long"),
@@ -116,10 +120,11 @@ def remove_repeats(
     answers = settle(
         held.select("id", "sha", "body", "keys")
         .mapInArrow(
-            _segments(window, hot, shards),
-            "shard int, id long, words binary, width int, row array<string>, start array<int>",
+            _segments(window, hot, shards * _CELLS),
+            "cell int, id long, words binary, width int, row array<string>, start array<int>",
         )
-        .repartition(shards, "shard")
+        .repartition(shards, "cell")
+        .sortWithinPartitions("cell")
         .mapInArrow(_matched(window), "id long, row string, start int, end int")
         .groupBy("id", "row")
         .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
@@ -217,15 +222,19 @@ def _key_rows(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
     starts = np.flatnonzero(new)
     several = np.maximum.reduceat(id, starts) != np.minimum.reduceat(id, starts)
     known = several[np.cumsum(new) - 1]
-    # The first and last row of a shared key tell the others that it is shared.
+    # The first and last row of a shared key tell the others that it is shared, and together
+    # how many documents hold it.
     last = np.append(new[1:], True)
     tells = known & (new | last)
+    n = np.ones(len(key), np.int64)
+    n[starts] += np.where(several, np.diff(np.append(starts, len(key))) - 2, 0)
     route = np.where(known, id, key)
     return pa.record_batch(
         {
             "route": np.concatenate([route, key[tells]]),
             "key": np.concatenate([key, key[tells]]),
             "doc": np.concatenate([id, id[tells]]),
+            "n": np.concatenate([np.ones(len(key), np.int64), n[tells]]),
             "known": np.concatenate([known, np.zeros(int(tells.sum()), bool)]),
         }
     )
@@ -235,33 +244,32 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of keys that at least two documents hold; one more row for a hot key."""
     rest = None
     for batch in batches:
-        key, id = (batch.column(k).to_numpy() for k in ("key", "doc"))
+        now = [batch.column(k).to_numpy() for k in ("key", "doc", "n")]
         known = batch.column("known").to_numpy(zero_copy_only=False)
         if known.any():
-            yield _shared_rows(key[known], id[known])
-            key, id = key[~known], id[~known]
-        if not len(key):
+            yield _shared_rows(now[0][known], now[1][known])
+            now = [c[~known] for c in now]
+        if not len(now[0]):
             continue
         if rest is not None:
-            key, id = np.append(rest[0], key), np.append(rest[1], id)
+            now = [np.append(a, b) for a, b in zip(rest, now, strict=True)]
+        key = now[0]
         start = int(np.searchsorted(key, key[-1]))
         if len(key) - start > HOT and start == 0:
             # A hot key that goes on: what is known to be shared need not wait.
-            yield _shared_groups(key[:-2], id[:-2])
-            rest = key[-2:], id[-2:]
-            continue
+            start = len(key) - 2
         if start:
-            yield _shared_groups(key[:start], id[:start])
-        rest = key[start:], id[start:]
+            yield _shared_groups(*(c[:start] for c in now))
+        rest = [c[start:] for c in now]
     if rest is not None:
         yield _shared_groups(*rest)
 
 
-def _shared_groups(key: np.ndarray, id: np.ndarray) -> pa.RecordBatch:
+def _shared_groups(key: np.ndarray, id: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     starts = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
-    counts = np.diff(np.append(starts, len(key)))
     several = np.maximum.reduceat(id, starts) != np.minimum.reduceat(id, starts)
-    kept = np.repeat(several, counts)
+    kept = np.repeat(several, np.diff(np.append(starts, len(key))))
+    counts = np.add.reduceat(n, starts)
     hot = counts >= HOT - 2
     return _shared_rows(key[kept], id[kept], key[starts[hot]], counts[hot])
 
@@ -333,7 +341,7 @@ _PACKED = pa.schema(
 )
 _SEGMENTS = pa.schema(
     [
-        ("shard", pa.int32()),
+        ("cell", pa.int32()),
         ("id", pa.int64()),
         ("words", pa.binary()),
         ("width", pa.int32()),
@@ -363,8 +371,8 @@ def _columns(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def _segments(window: int, hot, shards: int):
-    """Segments of shared keys by shard; equal ones of the task are settled at once."""
+def _segments(window: int, hot, cells: int):
+    """Segments of shared keys by cell; equal ones of the task are settled at once."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         is_hot = np.frombuffer(hot.value, np.uint8)
@@ -377,27 +385,27 @@ def _segments(window: int, hot, shards: int):
             symbols = np.ascontiguousarray(w.view(np.uint8).reshape(-1, 8)[:, :SYMBOL])
             single = is_hot[(key & np.uint64((1 << _HOT_BITS) - 1)).astype(np.int64)] > 0
             whole = chosen & ~single
-            homes = (key % np.uint64(shards)).astype(np.int64)
+            homes = (key % np.uint64(cells)).astype(np.int64)
             data = symbols.tobytes()
             spans = list(zip(homes[whole].tolist(), first[whole].tolist(), last[whole].tolist(), strict=True))
             apart = np.flatnonzero(chosen & single)
             if len(apart):
-                own = window_hashes(w, window) % np.uint64(shards)
+                own = window_hashes(w, window) % np.uint64(cells)
                 for r in apart.tolist():
                     spans += [(int(own[i]), i, i) for i in range(first[r], last[r] + 1)]
             for home, a, z in spans:
                 part = data[a * SYMBOL : (z + window) * SYMBOL]
                 groups.setdefault((home, part), []).append((id, sha, a))
             if len(groups) >= 200_000:
-                yield from _segment_rows(groups, shards)
+                yield from _segment_rows(groups, cells)
                 groups = {}
         if groups:
-            yield from _segment_rows(groups, shards)
+            yield from _segment_rows(groups, cells)
 
     return run
 
 
-def _segment_rows(groups: dict, shards: int) -> Iterator[pa.RecordBatch]:
+def _segment_rows(groups: dict, cells: int) -> Iterator[pa.RecordBatch]:
     out = []
     for (home, part), held in groups.items():
         width = len(part) // SYMBOL
@@ -407,7 +415,7 @@ def _segment_rows(groups: dict, shards: int) -> Iterator[pa.RecordBatch]:
         if len(mine) < len(held):
             for id, sha, a in held:
                 if id != least:
-                    out.append((id % shards, id, None, width, [sha], [a]))
+                    out.append((id % cells, id, None, width, [sha], [a]))
         if len(out) >= 8192:
             yield _columns(out, _SEGMENTS)
             out = []
@@ -416,10 +424,13 @@ def _segment_rows(groups: dict, shards: int) -> Iterator[pa.RecordBatch]:
 
 
 def _matched(window: int):
-    """The shard: builds the index of its segments and streams them through it."""
+    """The task: indexes the segments of some cells at a time and streams them through it.
+
+    Rows come in the order of their cells.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        out, ids, parts, places = [], [], [], []
+        out, held, n, last = [], [], 0, None
         for batch in batches:
             indexed = pc.is_valid(batch.column("words"))
             known = batch.filter(pc.invert(indexed)).select(["id", "width", "row", "start"])
@@ -429,26 +440,35 @@ def _matched(window: int):
                     yield _columns(out, _ANSWERS)
                     out = []
             batch = batch.filter(indexed)
-            ids.append(batch.column("id").to_numpy())
-            parts += batch.column("words").to_pylist()
-            places.append(batch.select(["id", "row", "start"]))
-        if parts:
-            spans = list(_earlier(np.concatenate(ids), parts, window))
-            held = pa.Table.from_batches(places)
-            for at in range(0, len(spans), 8192):
-                some = spans[at : at + 8192]
-                asked = held.take(pa.array([s for s, _, _ in some], pa.int64()))
-                for (_, a, z), (id, row, start) in zip(some, rows(asked.to_batches()), strict=True):
-                    out += [(id, r, b + a, b + z) for r, b in zip(row, start, strict=True)]
-                if out:
-                    yield _columns(out, _ANSWERS)
-                    out = []
+            if not batch.num_rows:
+                continue
+            cell, done = batch.column("cell").to_numpy(), 0
+            for at in np.flatnonzero(np.append(cell[0] != last, cell[1:] != cell[:-1])).tolist():
+                if n + at - done >= _INDEXED:
+                    yield from _answers([*held, batch.slice(done, at - done)], window)
+                    held, n, done = [], 0, at
+            held.append(batch.slice(done))
+            n, last = n + batch.num_rows - done, cell[-1]
+        if held:
+            yield from _answers(held, window)
         if out:
             yield _columns(out, _ANSWERS)
 
     return run
 
 
+def _answers(batches: list[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    held = pa.Table.from_batches(batches)
+    spans = list(_earlier(held.column("id").to_numpy(), held.column("words").to_pylist(), window))
+    held = held.select(["id", "row", "start"])
+    for at in range(0, len(spans), 8192):
+        some, out = spans[at : at + 8192], []
+        asked = held.take(pa.array([s for s, _, _ in some], pa.int64()))
+        for (_, a, z), (id, row, start) in zip(some, rows(asked.to_batches()), strict=True):
+            out += [(id, r, b + a, b + z) for r, b in zip(row, start, strict=True)]
+        yield _columns(out, _ANSWERS)
+
+
 def _earlier(ids: np.ndarray, parts: list[bytes], window: int) -> Iterator[tuple[int, int, int]]:
     """Segment and words covered by windows that a segment of a smaller id holds too."""
     sizes = np.array([len(p) // SYMBOL for p in parts])

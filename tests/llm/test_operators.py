@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +298,58 @@ def test_substrings_with_hot_keys(spark, monkeypatch):
     assert got(substring.remove_repeats(df), *names) == cases.ordered(cases.without_repeats(data))
 
 
+def test_a_task_indexes_some_cells_at_a_time(monkeypatch):
+    rng = np.random.default_rng(8)
+    part = [rng.integers(0, 256, 20 * substring.SYMBOL, np.uint8).tobytes() for _ in range(900)]
+    data = [(i // 10, i, part[i if i % 7 else i // 10 * 10], 20, [f"r{i}"], [5]) for i in range(900)]
+    known = [(3, 5000, None, 20, ["k"], [7])]
+    sizes = []
+
+    class Index(SegmentIndex):
+        def __init__(self, segments, depth):
+            sizes.append(len(segments))
+            super().__init__(segments, depth)
+
+    def answers(step):
+        table = substring._columns(data[:35] + known + data[35:], substring._SEGMENTS)
+        batches = iter([table.slice(at, step) for at in range(0, table.num_rows, step)])
+        out = [r for b in substring._matched(13)(batches) for r in b.to_pylist()]
+        return sorted(tuple(r.values()) for r in out)
+
+    monkeypatch.setattr(substring, "SegmentIndex", Index)
+    expected = sorted(
+        [(i, f"r{i}", 5, 25) for c, i, p, *_ in data if any(p == q and c == d and j < i for d, j, q, *_ in data)]
+        + [(5000, "k", 7, 27)]
+    )
+    assert len(expected) > 20
+    for most in (1, 25, 100, 10_000):
+        monkeypatch.setattr(substring, "_INDEXED", most)
+        for step in (1, 7, 10, 1000):
+            sizes.clear()
+            assert answers(step) == expected
+            assert sum(sizes) == len(data) and max(sizes) < most + 10
+
+
+def test_a_key_of_many_documents_of_each_task_is_hot():
+    passage = " ".join(f"p{i}" for i in range(13))
+
+    def keys(texts):
+        return list(substring._keys(13)(iter([pa.record_batch({"text": pa.array(texts)})])))
+
+    sent = [
+        b
+        for part in range(4)
+        for b in keys([f"{passage} {part} {i}" for i in range(1500)] + [f"{' '.join(f'q{part}{j}' for j in range(20))}"])
+    ]
+    rows = sorted((r for b in sent for r in b.to_pylist()), key=lambda r: (r["known"], r["key"], r["doc"]))
+    table = pa.Table.from_pylist(rows, sent[0].schema)
+    for size in (3, 10_000):
+        out = [r for b in substring._shared(iter(table.to_batches(size))) for r in b.to_pylist()]
+        hot = {r["key"]: r["rows"] for r in out if r["doc"] is None}
+        docs = Counter(r["key"] for r in {(r["key"], r["doc"]): r for r in out if r["doc"] is not None}.values())
+        assert hot and hot == {k: n for k, n in docs.items() if n >= substring.HOT} and set(hot.values()) == {6000}
+
+
 def test_mixing(docs, empty):
     out = mixing.mix_sources(docs).cache()
     assert out.count() == len(PAIRS) and set(docs.columns) <= set(out.columns)
