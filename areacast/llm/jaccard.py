@@ -34,6 +34,7 @@ from areacast.llm.text import (
     mix,
     rows,
     signed,
+    tidy,
     window_hashes,
     word_hashes,
     words,
@@ -171,7 +172,7 @@ def jaccard_components(
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     scanned = settle(
         (docs.withColumn("text_hash", F.xxhash64("text")) if hashed else docs).mapInArrow(
-            _scan(size),
+            tidy(_scan(size)),
             "id long, n long, key binary, node long, shingle long, docs long, is_doc boolean, text_hash long",
         ),
         "sets",
@@ -186,7 +187,7 @@ def jaccard_components(
     )
     lists = settle(
         docs.where("id is not null")
-        .mapInArrow(_postings(size, percent, order), "shingle long, part int, node long")
+        .mapInArrow(tidy(_postings(size, percent, order)), "shingle long, part int, node long")
         .repartition("shingle", "part")
         .sortWithinPartitions("shingle", "part", "node")
         .mapInArrow(_lists, "shingle long, part int, nodes array<long>"),
@@ -480,7 +481,7 @@ def _picked(docs: DataFrame, asked: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(there.astype(bool)))
 
     docs = docs.select("id", "text")
-    return docs.select("id", "text", hashed).mapInArrow(pick, docs.schema)
+    return docs.select("id", "text", hashed).mapInArrow(tidy(pick), docs.schema)
 
 
 def _probe(size: int, percent: int):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from areacast.llm.text import mix, unused
+from areacast.llm.text import mix, tidy, unused
 
 GRAM_BITS = 16
 ORDERS = (1, 2, 3, 4)
@@ -169,7 +169,7 @@ def predict_languages(
                 ]
                 yield pa.RecordBatch.from_arrays([*columns, *_predicted(m, usable, raw)], names=names)
 
-    return docs.withColumn(unused("lang_has_letter", docs), letters).mapInArrow(run, schema)
+    return docs.withColumn(unused("lang_has_letter", docs), letters).mapInArrow(tidy(run), schema)
 
 
 def _predicted(m: LanguageModel | None, texts: list[str | None], raw: bool = False) -> list[pa.Array]:

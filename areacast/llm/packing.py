@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from areacast.llm.text import rows
+from areacast.llm.text import rows, tidy
 from areacast.sources.shared import settle
 
 #: Pieces of one length that are numbered in one task.
@@ -162,7 +162,7 @@ def pack_documents(
     spark = docs.sparkSession
     pieces = settle(
         docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-            _pieces(tokenizer, end, capacity),
+            tidy(_pieces(tokenizer, end, capacity)),
             "id long, piece int, start long, length long, ids_crc32 long",
         ),
         "pieces",

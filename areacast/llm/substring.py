@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areacast.llm.fmindex import SegmentIndex
-from areacast.llm.text import rows, signed, window_hashes, word_hashes, words
+from areacast.llm.text import rows, signed, tidy, window_hashes, word_hashes, words
 from areacast.sources.shared import settle
 
 GRAM = 7
@@ -92,13 +92,13 @@ def remove_repeats(
     keyed = settle(
         docs.where("id is not null")
         .select("text")
-        .mapInArrow(_keys(window), "route long, key long, doc long, n long, known boolean")
+        .mapInArrow(tidy(_keys(window)), "route long, key long, doc long, n long, known boolean")
         .repartition("route")
         .sortWithinPartitions("known", "key", "doc")
         .mapInArrow(_shared, "key long, doc long, rows long"),
         "keys",
     )
-    prints = settle(docs.mapInArrow(_printed, "id long, hash long, n_words long, sha string, doc long"), "prints")
+    prints = settle(docs.mapInArrow(tidy(_printed), "id long, hash long, n_words long, sha string, doc long"), "prints")
     first = (
         prints.where("id is not null")
         .groupBy("sha")
@@ -107,7 +107,7 @@ def remove_repeats(
     shared = keyed.where("doc is not null").groupBy("doc").agg(F.collect_set("key").alias("keys"))
     asked = first.join(shared, "doc").select(F.col("first").alias("id"), "sha", "keys")
     held = settle(
-        docs.mapInArrow(_packed, "id long, hash long, n_words long, sha string, body binary").join(
+        docs.mapInArrow(tidy(_packed), "id long, hash long, n_words long, sha string, body binary").join(
             asked, ["id", "sha"]
         ),
         "passages",
@@ -120,12 +120,12 @@ def remove_repeats(
     answers = settle(
         held.select("id", "sha", "body", "keys")
         .mapInArrow(
-            _segments(window, hot, shards * _CELLS),
+            tidy(_segments(window, hot, shards * _CELLS)),
             "cell int, id long, words binary, width int, row array<string>, start array<int>",
         )
         .repartition(shards, "cell")
         .sortWithinPartitions("cell")
-        .mapInArrow(_matched(window), "id long, row string, start int, end int")
+        .mapInArrow(tidy(_matched(window)), "id long, row string, start int, end int")
         .groupBy("id", "row")
         .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
         .select(F.col("id").alias("i"), F.col("row").alias("r"), "spans"),
@@ -136,7 +136,7 @@ def remove_repeats(
         .join(answers, (F.col("id") == F.col("i")) & (F.col("sha") == F.col("r")))
         .select("id", "hash", "n_words", "body", "spans")
         .mapInArrow(
-            _cut,
+            tidy(_cut),
             "id long, text_hash long, n_words long, n_removed long, kept_sha256 string, kept_text string",
         )
     )
@@ -199,7 +199,7 @@ def _keys(window: int):
             if waiting >= _TOGETHER:
                 held += settle_texts()
                 waiting = 0
-            if held >= 1_500_000:
+            if held >= 750_000:
                 yield _key_rows(keys, ids)
                 keys.clear()
                 ids.clear()
