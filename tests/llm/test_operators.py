@@ -17,7 +17,7 @@ import cases
 from areacast.llm import jaccard, langid, lm, mixing, packing, quality, sharding, substring
 from areacast.llm import queries, tokencount, topk
 from areacast.llm.fmindex import SegmentIndex
-from areacast.llm.text import word_hashes
+from areacast.llm.text import tidy, word_hashes
 from tokenizers import Tokenizer
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -330,6 +330,26 @@ def test_a_task_indexes_some_cells_at_a_time(monkeypatch):
             assert sum(sizes) == len(data) and max(sizes) < most + 10
 
 
+def test_a_tidy_task_gives_freed_memory_back():
+    def held():
+        lines = Path("/proc/self/status").read_text().splitlines()
+        return next(int(x.split()[1]) for x in lines if x.startswith("RssAnon"))
+
+    kept, peak = [], []
+
+    def run(batches):
+        for batch in batches:
+            freed = [b"%06d" % i * 300 for i in range(150_000)]
+            kept.append(b"%06d" % len(freed) * 300)
+            peak.append(held())
+            del freed
+            yield batch
+
+    batch = pa.record_batch({"a": pa.array([1, 2])})
+    assert list(tidy(run)(iter([batch]))) == [batch]
+    assert held() < peak[0] - 200_000
+
+
 def test_a_key_of_many_documents_of_each_task_is_hot():
     passage = " ".join(f"p{i}" for i in range(13))
 
